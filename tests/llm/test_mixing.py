@@ -1,0 +1,71 @@
+import collections
+import random
+import re
+
+import pyspark.sql.functions as F
+
+from eigenforge.llm import mixing
+
+
+def expected_targets(sizes):
+    """Sources in code point order, null last; capped sources leave, the rest share what remains, until none is above."""
+    names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(names)}
+    target, free = {}, set(names)
+    while free:
+        share = (sum(sizes.values()) - sum(target.values())) / sum(weight[s] for s in free)
+        over = {s for s in free if share * weight[s] > 3 * sizes[s]}
+        if not over:
+            return target | {s: share * weight[s] for s in free}
+        target |= {s: 3.0 * sizes[s] for s in over}
+        free -= over
+    return target
+
+
+def check(spark, docs, rows):
+    got = mixing.mix(spark, docs).collect()
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    total = collections.Counter()
+    for r in rows:
+        total[r[2]] += size(r[1])
+    targets = expected_targets(dict(total))
+    assert sorted((repr(r["doc_id"]), r["size"]) for r in got) == sorted((repr(r[0]), size(r[1])) for r in rows)
+    taken, largest = collections.Counter(), collections.Counter()
+    for r in got:
+        assert r["source_size"] == total[r["source"]] and abs(r["target"] - targets[r["source"]]) < 1e-6 * (1 + r["target"])
+        assert r["taken"] % max(1, r["size"]) == 0 and r["taken"] <= 3 * r["size"]
+        taken[r["source"]] += r["taken"]
+        largest[r["source"]] = max(largest[r["source"]], r["size"])
+    for s in total:
+        assert abs(taken[s] - targets[s]) <= largest[s] + 1e-6
+    return sorted((repr(r["doc_id"]), r["size"], r["taken"]) for r in got)
+
+
+def test_targets_taken_and_reruns(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 20)
+    monkeypatch.setattr(mixing, "FAN_IN", 3)
+    rng = random.Random(5)
+    rows = [(i, " ".join(["w"] * rng.choice([1, 3, 10, 40])), rng.choice("aaaaab") if i % 7 else rng.choice(["é", "z", None])) for i in range(600)]
+    assert check(spark, make_docs(rows, 2), rows) == check(spark, make_docs(rows, 7), rows)
+
+
+def test_odd_rows(spark, make_docs):
+    rows = [(1, None, "a"), (2, "", "a"), (None, "one two", "a"), (3, "x\x0by\x0cz w", None), (3, "x\x0by\x0cz w", None), (4, "a\xa0b " * 50, "b"), (5, "q", "tiny"), (6, None, "nothing")]
+    check(spark, make_docs(rows).withColumn("target", F.lit(1)).withColumn("size", F.lit("s")), rows)
+    assert mixing.mix(spark, make_docs([])).count() == 0
+
+
+def test_pivot_is_unbiased_and_keeps_words():
+    rng = random.Random(1)
+    for _ in range(2000):
+        pa, pb, sa, sb = rng.random(), rng.random(), rng.randint(1, 50), rng.randint(1, 50)
+        if not (0 < pa < 1 and 0 < pb < 1):
+            continue
+        up, down = min((1 - pa) * sa, pb * sb), min(pa * sa, (1 - pb) * sb)
+        chance = down / (up + down)
+        gain, loss = mixing.pivot(pa, sa, pb, sb, 0.0), mixing.pivot(pa, sa, pb, sb, 0.999999)
+        for qa, qb in (gain, loss):
+            assert abs(qa * sa + qb * sb - pa * sa - pb * sb) < 1e-9
+            assert qa in (0.0, 1.0) or qb in (0.0, 1.0)
+        if 1e-5 < chance < 1 - 1e-5:
+            assert abs(chance * gain[0] + (1 - chance) * loss[0] - pa) < 1e-9

@@ -1,0 +1,85 @@
+import hashlib
+import zlib
+
+import numpy as np
+import pyspark.sql.functions as F
+import pytest
+from conftest import ODD_TEXTS
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from eigenforge.llm import bpe_trie, token_store
+from eigenforge.llm.catalog import tokenizer_path
+from eigenforge.llm.wordbpe import load_tokenizer
+from eigenforge.session import scratch_path
+
+PATH = tokenizer_path()
+CODEC = bpe_trie._Codec(PATH)
+
+
+def library(text):
+    return load_tokenizer(PATH).encode(text or "", add_special_tokens=False).ids
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.one_of(st.text(max_size=40), st.text("thearingo'sd. <|>endoftxÉß", max_size=60)))
+def test_trie_encodes_as_the_library(text):
+    (ids,) = CODEC.encode([text])
+    assert ids.tolist() == library(text)
+    assert CODEC.bpe.decode(ids.tolist()) == load_tokenizer(PATH).decode(library(text), skip_special_tokens=False)
+
+
+def test_shared_prefixes_are_computed_once():
+    bpe = bpe_trie.TrieBpe(PATH)
+    calls = []
+    plain = bpe._last
+    bpe._last = lambda path, lasts, table: calls.append(path) or plain(path, lasts, table)
+    bpe.encode_words(["relate", "related", "relation", "relational"])
+    inner = [p for p in calls if p in {"r", "re", "rel", "rela", "relat"}]
+    assert len(inner) == 5
+
+
+def test_op3_on_odd_rows(spark, make_docs):
+    rows = list(enumerate(ODD_TEXTS)) + [(None, "no id"), (3, "an id again")]
+    docs = make_docs(rows).withColumn("n_tokens", F.lit(1)).withColumn("ids_sha256", F.lit("x"))
+    got = bpe_trie.encode_digests(spark, docs, PATH).collect()
+    want = []
+    for i, text in rows:
+        ids = library(text)
+        decoded = load_tokenizer(PATH).decode(ids, skip_special_tokens=False)
+        want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+    key = lambda r: (r[0] is None, r[0] or 0, r[2])
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    assert bpe_trie.encode_digests(spark, make_docs([]), PATH).count() == 0
+
+
+def test_encode_then_decode(spark, make_docs):
+    docs = make_docs(list(enumerate(ODD_TEXTS)))
+    back = {r["doc_id"]: r["text"] for r in bpe_trie.decode(spark, bpe_trie.encode(spark, docs, PATH), PATH).collect()}
+    assert back == {i: load_tokenizer(PATH).decode(library(t), skip_special_tokens=False) for i, t in enumerate(ODD_TEXTS)}
+
+
+@pytest.mark.parametrize("segment_bytes", [64, 1 << 20])
+def test_op1_round_trip(spark, make_docs, segment_bytes):
+    rows = [(None, "first of all"), *((10 * i, t) for i, t in enumerate(ODD_TEXTS)), (20, "id 20 again")]
+    path = scratch_path(spark, "t")
+    dictionary = token_store.write_tokens(spark, make_docs(rows).withColumn("part", F.lit(1)), path, PATH, segment_bytes=segment_bytes)
+    got = sorted(token_store.read_tokens(spark, path).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == sorted((r[0] for r in rows), key=lambda i: -1 if i is None else i)
+    start = 0
+    for r in got:
+        assert r["start"] == start and r["n_tokens"] == len(r["ids"]) and r["ids"][-1] == 2
+        start += r["n_tokens"]
+    want = sorted((i if i is not None else -1, library(t) + [2]) for i, t in rows)
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["ids"]) for r in got) == want
+    assert sorted(token_store.read_document(spark, path, 20)) == sorted(ids for i, ids in want if i == 20)
+    assert token_store.read_document(spark, path, 21) == []
+    digests = {(r["start"], r["ids_crc32"]) for r in token_store.read_tokens(spark, path, digests=True).collect()}
+    assert digests == {(r["start"], zlib.crc32(np.array(r["ids"], dtype="<u4").tobytes())) for r in got}
+    if dictionary:
+        with pytest.raises(ValueError):
+            token_store.Segment(bytes(spark.read.parquet(path + "/segments").first()["data"]), b"another")
+
+
+def test_op1_empty_table(spark, make_docs):
+    assert token_store.token_digests(spark, make_docs([]), PATH).count() == 0
