@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eigenforge.llm import bpe_trie, mixing, token_store
+from eigenforge.llm import bpe_trie, line_dedup, mixing, quality, token_store
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -33,13 +33,26 @@ def op3_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trie.encode_digests(spark, _read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(spark, _read(spark, sf_dir, "documents"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.verdicts(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": op1_token_store,
         "op2_mix_sources": op2_mix_sources,
         "op3_bpe_trie": op3_bpe_trie,
+        "op4_line_dedup": op4_line_dedup,
+        "op5_quality_rules": op5_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_line_dedup": line_dedup.ORACLE,
+        "op5_quality_rules": quality.ORACLE,
+    }
