@@ -1,0 +1,87 @@
+import random
+import re
+
+import numpy as np
+import pyspark.sql.functions as F
+import pytest
+from conftest import ODD_TEXTS
+
+from eigenforge.llm import ngram_join
+from eigenforge.llm.components import connected_components
+
+
+def lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def brute(rows, width, percent):
+    sets = []
+    for _, text in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
+        sets.append({tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set())
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            n = len(a & sets[j])
+            if n and 100 * n >= percent * len(a | sets[j]):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (doc_id, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), doc_id), doc_id)
+    return sorted((doc_id, len(sets[i]), least[find(i)]) for i, (doc_id, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("stars", [0, 3])
+def test_components_against_brute_force(spark, make_docs, stars):
+    rng = random.Random(4)
+    bases = [[f"w{rng.randrange(400)}" for _ in range(rng.choice([3, 6, 15, 40, 150]))] for _ in range(15)]
+    texts = []
+    for _ in range(220):
+        words = list(rng.choice(bases))
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 3, 5])):
+            words[rng.randrange(len(words))] = f"v{rng.randrange(5)}"
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts + [t.upper() for t in texts[:3]]))
+    got = ngram_join.similar_components(spark, make_docs(rows).withColumn("node", F.lit(1)), 4, 85, star_rounds=stars).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 4, 85)
+
+
+def test_odd_rows(spark, make_docs):
+    rows = list(enumerate(ODD_TEXTS)) + [(100, "one two"), (99, "ONE\ttwo"), (98, "é É"), (97, "É É")]
+    got = sorted(map(tuple, ngram_join.similar_components(spark, make_docs(rows), 4, 85).collect()))
+    assert got == brute(rows, 4, 85)
+    more = ngram_join.similar_components(spark, make_docs([(None, "a b c d e"), (5, "a b c d e"), (5, "a b c d e"), (5, "other words for the same id")])).collect()
+    assert sorted(r["component_id"] for r in more) == [5, 5, 5, 5]
+    assert ngram_join.similar_components(spark, make_docs([])).count() == 0
+
+
+def test_similar_sets_share_a_signature():
+    rng = np.random.default_rng(6)
+    bands = ngram_join.Bands(85)
+    for size in [7, 8, 13, 14, 20, 33, 60, 99, 140, 400, 1000]:
+        for _ in range(40):
+            a = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+            gone = int(rng.integers(0, max(1, size * 15 // 100) + 1))
+            b = a[gone:]
+            while True:  # add elements for as long as the sets stay similar
+                c = np.append(b, np.uint64(rng.integers(0, 2**63)))
+                if 100 * (len(a) - gone) < 85 * (len(a) + len(c) - (len(a) - gone)):
+                    break
+                b = c
+            b = np.unique(b)
+            i = len(np.intersect1d(a, b))
+            if len(b) and 100 * i >= 85 * (len(a) + len(b) - i) and len(a) + len(b) - 2 * i:
+                assert np.intersect1d(ngram_join.signatures(a, bands), ngram_join.signatures(b, bands)).size
+
+
+def test_components_of_a_path_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(10, 60)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 3)]
+    got = dict(map(tuple, connected_components(spark, spark.createDataFrame(edges, "src long, dst long")).collect()))
+    assert got == {i: 10 for i in range(10, 61)} | {i: 100 for i in range(100, 140)} | {200: 3, 3: 3}
+    assert connected_components(spark, spark.createDataFrame([], "src long, dst long")).count() == 0
