@@ -35,23 +35,38 @@ _SEGMENT = "part int, segment int, first_doc long, n_docs int, n_tokens long, di
 
 
 class LibraryEncoder:
-    """The tokenizers library behind a bounded cache: it sees each distinct white-space chunk once, and texts with
+    """The tokenizers library behind a bounded cache: it sees each distinct word once, many in one call, and texts with
     unusual characters or special tokens whole."""
 
     def __init__(self, path: str):
         self.split = Splitter(path)
         self.tok = self.split.tok
-        self.type = np.dtype("<u2" if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        self.type = np.dtype("<u2" if max(vocab.values()) < 1 << 16 else "<u4")
+        #: Whether a token ends a word; a word of the fast way has just one such token, its last.
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        out = {}
+        for at in range(0, len(words), 10_000):
+            part = words[at : at + 10_000]
+            ids = np.array(self.tok.encode(" ".join(part), add_special_tokens=False).ids, dtype=self.type)
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(ends) != len(part):
+                raise ValueError("the tokenizer does not mark the ends of words")
+            raw, w = ids.tobytes(), self.type.itemsize
+            out.update(zip(part, [raw[a * w : b * w] for a, b in zip([0, *ends], ends)]))
+        return out
+
     def _learn(self, keys: set[str]) -> None:
-        new = list(keys.difference(self.known))
+        new = keys.difference(self.known)
         if len(self.known) + len(new) > CACHE_LIMIT:
             self.known = {w: self.known[w] for w in keys if w in self.known}
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for key, enc in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[key] = np.array(enc.ids, dtype=self.type).tobytes()
+        parts = {key: self.split.words_of(key) for key in new}
+        of = self._words(list(set().union(*parts.values())))
+        self.known.update({key: of[words[0]] if len(words) == 1 else b"".join(map(of.__getitem__, words)) for key, words in parts.items()})
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         group: list[list[str] | bytes] = []
@@ -79,7 +94,10 @@ def train_dictionary(spark: SparkSession, docs: DataFrame, tokenizer: str, end_i
 
     That bound is a parameter of the training alone. Too few or too small documents give no dictionary (empty bytes).
     """
-    rows = docs.where(F.length("text") > 0).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(samples).select("text").collect()
+    hashed = docs.withColumn("h", F.xxhash64("doc_id", F.lit(11)))
+    reach = min(1.0, 4.0 * samples / max(1, docs.count()))  # few rows leave their tasks, however many tasks there are
+    near = hashed.where(F.col("h") <= int(-(2.0**63) + reach * (2.0**64 - 2048))) if reach < 1 else hashed
+    rows = near.where(F.length("text") > 0).orderBy("h", "doc_id", F.xxhash64("text")).limit(samples).select("text").collect()
     enc = _encoder(tokenizer)
     end = np.array([end_id], dtype=enc.type).tobytes()
     arrays = [ids + end for ids in enc.encode([r[0] for r in rows])]

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Entries that a worker keeps at most in a cache of words; a full cache starts anew.
-CACHE_LIMIT = 700_000
+CACHE_LIMIT = 1_400_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
