@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eigenforge.llm import bpe_trie, line_dedup, mixing, ngram_join, quality, token_store
+from eigenforge.llm import bpe_trie, embedding_dedup, line_dedup, mixing, ngram_join, quality, token_store
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -41,6 +41,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(_read(spark, sf_dir, "documents"))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(spark, _read(spark, sf_dir, "embeddings"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(spark, _read(spark, sf_dir, "documents"), width=4, percent=85)
 
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe_trie": op3_bpe_trie,
         "op4_line_dedup": op4_line_dedup,
         "op5_quality_rules": op5_quality_rules,
+        "op6_embedding_near_dedup": op6_embedding_near_dedup,
         "op7_ngram_jaccard": op7_ngram_jaccard,
     }
 
@@ -60,5 +65,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_line_dedup": line_dedup.ORACLE,
         "op5_quality_rules": quality.ORACLE,
+        "op6_embedding_near_dedup": embedding_dedup.ORACLE,
         "op7_ngram_jaccard": ngram_join.ORACLE,
     }
