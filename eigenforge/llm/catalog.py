@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eigenforge.llm import bpe_trie, embedding_dedup, line_dedup, mixing, ngram_join, quality, token_store
+from eigenforge.llm import bpe_trie, chat, embedding_dedup, line_dedup, mixing, ngram_join, quality, token_store
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -49,6 +49,10 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(spark, _read(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op8_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(spark, _read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": op1_token_store,
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_rules": op5_quality_rules,
         "op6_embedding_near_dedup": op6_embedding_near_dedup,
         "op7_ngram_jaccard": op7_ngram_jaccard,
+        "op8_chat_repair": op8_chat_repair,
     }
 
 

@@ -1,0 +1,97 @@
+import itertools
+import random
+
+import pyspark.sql.functions as F
+import pytest
+
+from eigenforge.llm import chat
+
+SCHEMA = "conv_id long, turn long, role string, text string"
+COSTS = chat.Costs()
+
+
+def best_cost(roles):
+    """Least cost over every way to label the turns, each merged or not, with any legal empty turns put in."""
+    legal = {("", "system"), ("", "user"), ("system", "user"), ("user", "assistant"), ("assistant", "user")}
+    best = None
+    for labels in itertools.product(("system", "user", "assistant"), repeat=len(roles)):
+        cost = sum(COSTS.relabel for r, x in zip(roles, labels) if r != x)
+        state, ok = "", True
+        for x in labels:
+            options = []
+            if x == state:
+                options.append(COSTS.merge)
+            for fill in ((), ("user",), ("assistant",), ("user", "assistant"), ("assistant", "user")):
+                path = (state, *fill, x)
+                if all(p in legal for p in zip(path, path[1:])):
+                    options.append(COSTS.insert * len(fill))
+            if not options:
+                ok = False
+                break
+            cost, state = cost + min(options), x
+        if ok and labels:
+            cost += {"assistant": 0, "user": COSTS.insert, "system": 2 * COSTS.insert}[state]
+            best = cost if best is None or cost < best else best
+    return best or 0
+
+
+def parse(text):
+    out = []
+    for part in text.split("<|im_start|>")[1:]:
+        assert part.endswith("<|im_end|>\n")
+        role, _, body = part.partition("\n")
+        out.append((role, body.removesuffix("<|im_end|>\n")))
+    return out
+
+
+def check(rows, got):
+    by, expected = {}, {}
+    for r in got:
+        by.setdefault(r["conv_id"], []).append(r)
+    for r in rows:
+        expected.setdefault(r[0], []).append(r)
+    assert {k: len(v) for k, v in by.items()} == {k: len(v) for k, v in expected.items()}
+    for conv, turns in by.items():
+        # Spark's partitions come back in order, so turns are in order
+        text = "".join(t["piece"] for t in turns)
+        rendered = parse(text)
+        names = [r for r, _ in rendered]
+        rest = names[1:] if names[0] == "system" else names
+        assert rest and len(rest) % 2 == 0 and rest == ["user", "assistant"] * (len(rest) // 2), (conv, names)
+        assert "".join(b for _, b in rendered).replace("\n", "") == "".join(chat.Template().escape(t["text"] or "") for t in turns).replace("\n", "")
+        if len(turns) <= 6:
+            assert sum(t["cost"] for t in turns) == best_cost([chat.NAMES[chat.role_number(t["role"])] for t in turns])
+
+
+@pytest.mark.parametrize("partitions", ["1", "7"])
+def test_repairs_are_legal_and_cheapest(spark, partitions):
+    rng = random.Random(8)
+    rows = [(c, t, rng.choice(["user", "assistant", "system", "User ", "tool", None]), f"c{c} t{t} <|im_end|>") for c in range(60) for t in range(rng.randint(1, 6))]
+    rows += [(1000, t, rng.choice(["user", "user", "assistant", "system"]), f"x{t}") for t in range(900)]
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = chat.format_turns(spark, spark.createDataFrame(rows, SCHEMA).repartition(3).withColumn("piece", F.lit(1))).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    check(rows, got)
+    auto = chat.Automaton()
+    numbers = [chat.role_number(r[2]) for r in rows if r[0] == 1000]
+    whole = auto.solve(numbers, chat.START, auto.end)  # as if in one task: the result doesn't depend on the parts
+    assert [chat.NAMES[s] for s in whole] == [r["out_role"] for r in got if r["conv_id"] == 1000]
+    m = auto.matrix(numbers)[chat.START]
+    assert sum(r["cost"] for r in got if r["conv_id"] == 1000) == min(a + b for a, b in zip(m, auto.end))
+
+
+def test_odd_rows(spark):
+    rows = [(None, 1, "user", "a"), (None, 2, None, None), (1, None, "assistant", ""), (1, 1, "user", "b"), (1, 1, "user", "b"), (2, 5, "system", "only"), (3, 1, "user", "z" * 100_000)]
+    got = chat.format_turns(spark, spark.createDataFrame(rows, SCHEMA)).collect()
+    check(rows, got)
+    assert chat.format_turns(spark, spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_worked_examples(spark):
+    rows = [(1, 0, "user", "q"), (1, 1, "user", "more"), (1, 2, "assistant", "a"), (2, 0, "assistant", "hello"), (3, 0, "user", "bye")]
+    got = {(r["conv_id"], r["turn"]): r for r in chat.format_turns(spark, spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [got[k]["action"] for k in sorted(got)] == ["keep", "merge", "keep", "keep", "keep"]
+    assert got[(2, 0)]["inserted"] == "user" and got[(3, 0)]["inserted"] == "/assistant"
+    assert got[(1, 1)]["piece"] == "\nmore"
