@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eigenforge.llm import bpe_trie, chat, embedding_dedup, line_dedup, mixing, ngram_join, quality, token_store
+from eigenforge.llm import bpe_trie, chat, embedding_dedup, line_dedup, mixing, ngram_join, quality, token_store, toxicity, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -53,6 +53,15 @@ def op8_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(spark, _read(spark, sf_dir, "conversations"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return toxicity.score(spark, docs, toxicity.fit(spark, docs, _read(spark, sf_dir, "labels")))
+
+
+def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digests(spark, _read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": op1_token_store,
@@ -63,6 +72,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_embedding_near_dedup": op6_embedding_near_dedup,
         "op7_ngram_jaccard": op7_ngram_jaccard,
         "op8_chat_repair": op8_chat_repair,
+        "op9_toxicity": op9_toxicity,
+        "op10_warc_index": op10_warc_index,
     }
 
 
@@ -72,4 +83,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_quality_rules": quality.ORACLE,
         "op6_embedding_near_dedup": embedding_dedup.ORACLE,
         "op7_ngram_jaccard": ngram_join.ORACLE,
+        "op10_warc_index": warc.ORACLE,
     }
