@@ -52,8 +52,9 @@ def test_the_penalty_is_what_removes_the_bias():
     for fairness in (0.0, 1.0):
         m = toxicity.train(sets, y, other, fairness=fairness)
         own = toxicity.Reader(m.columns)
-        gaps.append(m.score(own.of("waax muslims wabx")) - m.score(own.of("waax christians wabx")))
-    assert gaps[0] > 0.2 and abs(gaps[1]) < 0.05
+        odds = [np.log(1 / m.score(own.of(f"waax {t} wabx")) - 1) for t in ("christians", "muslims")]
+        gaps.append(odds[0] - odds[1])
+    assert gaps[0] > 0.5 and abs(gaps[1]) < 0.2 * gaps[0]
 
 
 def test_odd_rows(spark):
