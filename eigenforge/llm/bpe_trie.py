@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eigenforge.llm.words import CACHE_LIMIT
+from eigenforge.llm.words import CACHE_LIMIT, no_gc
 from eigenforge.llm.wordbpe import Splitter, byte_alphabet
 from eigenforge.session import ship_package
 
@@ -128,10 +128,11 @@ class _Codec:
         new = keys.difference(self.known)
         if len(self.known) + len(new) > CACHE_LIMIT:
             self.known = {w: self.known[w] for w in keys if w in self.known}
-        parts = {key: self.split.words_of(key) for key in new}
-        ids = self.bpe.encode_words(set().union(*parts.values()))
-        for key, words in parts.items():
-            self.known[key] = np.array([i for w in words for i in ids[w]], dtype=self.type).tobytes()
+        with no_gc():
+            parts = {key: self.split.words_of(key) for key in new}
+            ids = self.bpe.encode_words(set().union(*parts.values()))
+            for key, words in parts.items():
+                self.known[key] = np.array([i for w in words for i in ids[w]], dtype=self.type).tobytes()
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text, in order. Texts go in groups of a bounded size, whose new words are learned first."""

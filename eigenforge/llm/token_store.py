@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,8 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eigenforge.llm.words import CACHE_LIMIT
-from eigenforge.llm.wordbpe import Splitter
+from eigenforge.llm.words import CACHE_LIMIT, no_gc
+from eigenforge.llm.wordbpe import Splitter, byte_alphabet
 from eigenforge.session import scratch_path, ship_package, shuffle_partitions
 
 MAGIC, VERSION = b"EFTS", 1
@@ -35,38 +36,30 @@ _SEGMENT = "part int, segment int, first_doc long, n_docs int, n_tokens long, di
 
 
 class LibraryEncoder:
-    """The tokenizers library behind a bounded cache: it sees each distinct word once, many in one call, and texts with
-    unusual characters or special tokens whole."""
+    """The tokenizers library behind a bounded cache: its model sees each distinct word once; texts with unusual
+    characters or special tokens go through the whole tokenizer."""
 
     def __init__(self, path: str):
         self.split = Splitter(path)
         self.tok = self.split.tok
-        vocab = self.tok.get_vocab(with_added_tokens=True)
-        self.type = np.dtype("<u2" if max(vocab.values()) < 1 << 16 else "<u4")
-        #: Whether a token ends a word; a word of the fast way has just one such token, its last.
-        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.model = self.tok.model
+        self.type = np.dtype("<u2" if max(self.tok.get_vocab(with_added_tokens=True).values()) < 1 << 16 else "<u4")
+        self.code = "H" if self.type.itemsize == 2 else "I"
+        self.stand_ins = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
         self.known: dict[str, bytes] = {}
 
-    def _words(self, words: list[str]) -> dict[str, bytes]:
-        out = {}
-        for at in range(0, len(words), 10_000):
-            part = words[at : at + 10_000]
-            ids = np.array(self.tok.encode(" ".join(part), add_special_tokens=False).ids, dtype=self.type)
-            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(ends) != len(part):
-                raise ValueError("the tokenizer does not mark the ends of words")
-            raw, w = ids.tobytes(), self.type.itemsize
-            out.update(zip(part, [raw[a * w : b * w] for a, b in zip([0, *ends], ends)]))
-        return out
+    def _word(self, word: str) -> bytes:
+        symbols = word if word.isascii() else word.encode().decode("latin-1").translate(self.stand_ins)
+        return array(self.code, [t.id for t in self.model.tokenize(symbols)]).tobytes()
 
     def _learn(self, keys: set[str]) -> None:
         new = keys.difference(self.known)
         if len(self.known) + len(new) > CACHE_LIMIT:
             self.known = {w: self.known[w] for w in keys if w in self.known}
-        parts = {key: self.split.words_of(key) for key in new}
-        of = self._words(list(set().union(*parts.values())))
-        self.known.update({key: of[words[0]] if len(words) == 1 else b"".join(map(of.__getitem__, words)) for key, words in parts.items()})
+        with no_gc():
+            parts = {key: self.split.words_of(key) for key in new}
+            of = {word: self._word(word) for word in set().union(*parts.values())}
+            self.known.update({key: of[words[0]] if len(words) == 1 else b"".join(map(of.__getitem__, words)) for key, words in parts.items()})
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         group: list[list[str] | bytes] = []

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import gc
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import xxhash
 
@@ -33,3 +37,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 def ascii_words(text: str | None) -> list[bytes]:
     """Words of [^\\x20\\x09-\\x0D]+ with A-Z in lower case: just what bytes.split and bytes.lower do."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
+@contextmanager
+def no_gc() -> Iterator[None]:
+    """No cyclic collections while many small objects are made that hold no cycles."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
