@@ -5,9 +5,10 @@ k elements. The shingle domain is hashed into n1 first-level partitions of n2 se
 each subset of n2 - k2 second-level partitions of one first-level partition. With 2 * n1 > k some first-level partition
 holds at most k2 = 1 differences, so similar sets share at least one signature: no link is lost.
 
-Equal sets are one node. Sets that share a signature are verified against one pivot of it at first; whole groups of
-copies become connected that way without their pairs being made. Then only pairs that still lie in different
-components are left to be verified, until none is.
+Equal sets are one node. Sets that share a signature are compared exactly, in blocks of a bounded size: families of
+near copies (sets whose signatures lead to the same set most often) stay together in a block, and a set goes to another
+block only where a signature leads. Blocks give spanning forests, so pairs are never rows. A family too large for a
+block is first held against its own center; what links there is one component and not compared within itself.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ SHINGLE, PERCENT = 5, 80
 _BAND_STEP = 1.5
 #: Second-level partitions, and differences that a signature's first-level partition may hold.
 N2, K2 = 2, 1
+SPARE = 15
+#: Sets and shingles that a block of an unsettled cluster has about.
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 1_000_000
 _SALT, _MUL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -65,40 +69,48 @@ class Bands:
             self.lows.append(max(self.lows[-1] + 1, int(self.lows[-1] * _BAND_STEP)))
         return self.lows[j]
 
-    def of(self, size: int) -> Iterator[tuple[int, int]]:
-        """(band, k) of each band that a set of this size is in: that of its size, and those below whose partners reach it."""
+    def of(self, size: int) -> Iterator[tuple[int, int, int]]:
+        """(band, k, most) of each band that a set of this size is in: that of its size, and those below whose partners
+        reach it. most: differences it can have there with a similar set itself."""
         j = 0
         while self._low(j + 1) <= size:
             j += 1
+        differences = lambda a, b: (a + b) * (100 - self.percent) // (100 + self.percent)
         while j >= 0:
             smaller = self._low(j + 1) - 1  # the smaller set of a pair of this band has at most this size
             high = smaller * 100 // self.percent
             if high < size:
                 return
-            yield j, (smaller + high) * (100 - self.percent) // (100 + self.percent)
+            other = size * 100 // self.percent if size <= smaller else smaller
+            yield j, differences(smaller, high), differences(size, other)
             j -= 1
 
 
-def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """PartEnum signatures of a set, in all its bands. Pairs of differences 0 are equal sets and need none."""
-    out = []
-    for band, k in bands.of(len(s)):
+def signatures(s: np.ndarray, bands: Bands) -> tuple[np.ndarray, int]:
+    """PartEnum signatures of a set, in all its bands, and how many of them any set linked with it shares at least.
+
+    Equal sets need none. There are SPARE per cent more partitions than similarity alone asks for, so that linked sets
+    share several signatures and sets that share a passage seldom as many.
+    """
+    out, bound = [], None
+    for band, k, most in bands.of(len(s)):
         if k == 0:
             continue
         need = k + 1
-        n1 = -(-(need + 1 + need // 40) // N2)
+        n1 = -(-(need * (100 + SPARE) // 100 + 1) // N2)
         part = (mix(s * _MUL + _SALT) % np.uint64(n1 * N2)).astype(np.int64)
         sums, counts = np.zeros(n1 * N2, dtype=np.uint64), np.bincount(part, minlength=n1 * N2)
         np.add.at(sums, part, mix(s + _SALT))
         sums, counts = sums.reshape(n1, N2), counts.reshape(n1, N2)
         # A similar set equals this one on all but k partitions; with more than k that aren't empty, the empty ones
         # needn't be signed, as one of the others is equal too.
-        empty_too = int((counts > 0).sum()) < need
+        filled = int((counts > 0).sum())
         for number, subset in enumerate(combinations(range(N2), N2 - K2)):
             place = (np.arange(n1, dtype=np.uint64) * np.uint64(64) + np.uint64(number)) * np.uint64(4096) + np.uint64(band)
             sig = mix(mix(place + _SALT) + sums[:, subset].sum(axis=1, dtype=np.uint64))
-            out.append(sig if empty_too else sig[counts[:, subset].sum(axis=1) > 0])
-    return np.concatenate(out).astype(np.int64) if out else np.empty(0, dtype=np.int64)
+            out.append(sig if filled < need else sig[counts[:, subset].sum(axis=1) > 0])
+        bound = filled - most if bound is None else min(bound, filled - most)
+    return (np.concatenate(out).astype(np.int64) if out else np.empty(0, dtype=np.int64)), max(1, bound or 1)
 
 
 def _sets(docs: DataFrame, width: int, columns: str, row) -> DataFrame:
@@ -110,33 +122,22 @@ def _sets(docs: DataFrame, width: int, columns: str, row) -> DataFrame:
     return docs.mapInPandas(run, columns)
 
 
-def nodes(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, node of each row."""
-
-    def row(pdf, sets, seen):
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": [len(s) for s in sets], "node": pd.array([node_of(s) for s in sets], dtype="Int64")})
-
-    return _sets(docs, width, "doc_id long, n_shingles long, node long", row)
-
-
-def _signed(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """sig, node of the sets; a task signs equal sets once."""
+def signed(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, node and signatures of each row; of equal sets in a task the first alone has its signatures."""
     bands = Bands(percent)
 
     def row(pdf, sets, seen):
-        sigs, owners = [], []
-        for s in sets:
-            node = node_of(s)
-            if node is None or node in seen:
-                continue
-            if len(seen) < 1_000_000:
+        ids, sigs, shares = [node_of(s) for s in sets], [], []
+        for s, node in zip(sets, ids):
+            known = node is None or node in seen
+            if not known and len(seen) < 1_000_000:
                 seen.add(node)
-            sigs.append(signatures(s, bands))
-            owners.append(np.full(len(sigs[-1]), node, dtype=np.int64))
-        empty = [np.empty(0, dtype=np.int64)]
-        return pd.DataFrame({"sig": np.concatenate(sigs or empty), "node": np.concatenate(owners or empty)})
+            found, least = (None, 0) if known else signatures(s, bands)
+            sigs.append(found)
+            shares.append(least)
+        return pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": [len(s) for s in sets], "node": pd.array(ids, dtype="Int64"), "sigs": sigs, "shares": shares})
 
-    return _sets(docs, width, "sig long, node long", row)
+    return _sets(docs, width, "doc_id long, n_shingles long, node long, sigs array<long>, shares int", row)
 
 
 def _members(docs: DataFrame, width: int) -> DataFrame:
@@ -155,14 +156,72 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", common.alias("i"), (F.size("sa") + F.size("sb")).alias("n")).select("a", "b", (F.col("i") * 100 >= (F.col("n") - F.col("i")) * percent).alias("linked"))
 
 
-def _best(candidates: DataFrame) -> DataFrame:
-    """Of each node's candidate pivots the one with which it shares most signatures."""
-    counted = candidates.groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("n"))
-    best = counted.groupBy("node").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("pivot"))
-    return best.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-
-
-def similar_components(spark: SparkSession, docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = 3) -> DataFrame:
+def _block(percent: int):
+    """Links within a block, or between two, as a spanning forest; a shingle adds one to all pairs of its sets."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("node")
+        n, node = len(pdf), pdf["node"].to_numpy()
+        size = np.array([len(x) for x in pdf["shingles"]])
+        flat, owner = np.concatenate([np.asarray(x) for x in pdf["shingles"]]), np.repeat(np.arange(n), size)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+        ends = np.r_[starts[1:], len(flat)]
+        common = np.zeros((n, n), dtype=np.int32)
+        for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
+            sets = owner[a:b]
+            common[np.ix_(sets, sets)] += 1
+        label = np.arange(n)
+        while True:
+            new = label.copy()
+            for i in range(n):
+                near = common[i] * 100 >= (size[i] + size - common[i]) * percent
+                new[i] = min(label[i], label[near].min() if near.any() else n)
+            new = np.minimum(new, new[new])
+            if (new == label).all():
+                break
+            label = new
+        joined = np.flatnonzero(label != np.arange(n))
+        return pd.DataFrame({"src": node[joined], "dst": node[label[joined]]})
+
+    return run
+
+
+def _number_of_blocks() -> F.Column:
+    return F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK_SETS))), F.ceil(F.sum("n") / F.lit(float(BLOCK_SHINGLES)))).cast("int")
+
+
+def _deal(spark: SparkSession, live: DataFrame, family: DataFrame, found: DataFrame) -> DataFrame:
+    """node, lo, hi: the pairs of blocks in which a node meets others of its signatures.
+
+    Blocks belong to a large settled component, to a large family, or to many small families; two blocks of one
+    component need no comparison.
+    """
+    rows = family.join(found.withColumnRenamed("id", "node"), "node", "left")
+    per = rows.where("component is not null").groupBy("component").agg(_number_of_blocks().alias("own")).where("own > 1")
+    rows = rows.join(per.select("component", F.col("component").alias("settled"), "own"), "component", "left")
+    sizes = rows.where("settled is null").groupBy("family").agg(_number_of_blocks().alias("nb"))
+    total = rows.where("settled is null").agg(_number_of_blocks()).first()[0] or 1
+    rows = rows.join(sizes, "family", "left")
+    part = lambda n: F.pmod(F.xxhash64("node", F.lit(3)), n)
+    block = (
+        F.when(F.col("settled").isNotNull(), F.xxhash64(F.lit("component"), "settled", part(F.col("own"))))
+        .when(F.col("nb") > 1, F.xxhash64(F.lit("family"), "family", part(F.col("nb"))))
+        .otherwise(F.xxhash64(F.lit("small"), F.pmod(F.xxhash64("family"), F.lit(total))))
+    )
+    placed, _ = materialize(spark, rows.select("node", "family", "shares", block.alias("block"), "settled"), "blocks")
+    # A set goes to the blocks of a family with which it shares as many signatures as with a set it is linked with.
+    members = live.select("sig", "node").join(placed.select("node", "family"), "node")
+    kinds = members.select("sig", F.col("family").alias("to")).distinct()
+    shared = members.select("sig", "node").join(kinds, "sig").groupBy("node", "to").agg(F.count(F.lit(1)).alias("n"))
+    ends = placed.select(F.col("family").alias("to"), F.col("block").alias("other"), F.col("settled").alias("other_settled")).distinct()
+    apart = F.col("settled").isNull() | F.col("other_settled").isNull() | (F.col("settled") != F.col("other_settled"))
+    met = shared.join(placed.drop("family"), "node").where(F.col("n") >= F.col("shares")).join(ends, "to").where(apart)
+    return met.select("node", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).distinct()
+
+
+def similar_components(spark: SparkSession, docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row doc_id, n_shingles and component_id, the smallest doc_id that links lead to.
 
     Null or wordless texts have no shingles and link with nothing; their component is their own id. Equal texts are
@@ -171,39 +230,32 @@ def similar_components(spark: SparkSession, docs: DataFrame, width: int = SHINGL
     """
     ship_package(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    own, _ = materialize(spark, nodes(rows, width), "nodes")
+    own, _ = materialize(spark, signed(rows, width, percent), "signed")
     by_sig = Window.partitionBy("sig")
-    live = _signed(rows, width, percent).select("sig", "node", F.min("node").over(by_sig).alias("pivot"), F.max("node").over(by_sig).alias("other")).where("pivot != other")
-    live, _ = materialize(spark, live.select("sig", "node", "pivot"), "buckets")
-    involved, _ = materialize(spark, live.select("node").distinct().join(own.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node"), "involved")
-    few = may_hold(rows.withColumn("key", F.xxhash64("doc_id")), "key", slots_of(involved.select(F.xxhash64("doc_id").alias("key")), "key"), "maybe").where("maybe")
-    sets, _ = materialize(spark, _members(few.select("text"), width).join(involved.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
-
-    tested, _ = materialize(spark, _verified(_best(live.where("node != pivot")), sets, percent), "tested-0")
-    edges = lambda t: t.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    done = 0
-    while True:
-        found = connected_components(spark, edges(tested))
-        open_rows = live.drop("pivot").join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = open_rows.withColumn("lo", F.min("component").over(by_sig)).withColumn("hi", F.max("component").over(by_sig)).where("lo != hi")
-        left, _ = materialize(spark, mixed.select("sig", "node", "component", "lo"), f"open-{done}")
-        if left.isEmpty():
-            break
-        if done < star_rounds:
-            # Each bucket's least component offers one member as pivot to the bucket's other components.
-            pivots = left.where("component = lo").groupBy("sig").agg(F.min_by("node", F.xxhash64(F.lit(done), "node")).alias("pivot"))
-            pairs = left.where("component != lo").join(pivots, "sig").select("node", "pivot", F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-            new = _best(pairs.join(tested, ["a", "b"], "left_anti"))
-        else:
-            # All that stars have not settled: pairs that share a signature across components.
-            x, y = (left.select("sig", F.col("node").alias(n), F.col("component").alias("c" + n)) for n in "ab")
-            new = x.join(y, "sig").where("a < b and ca != cb").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        more, _ = materialize(spark, _verified(new, sets, percent), f"tested-{done + 1}")
-        tested = tested.unionByName(more)
-        if done >= star_rounds:
-            found = connected_components(spark, edges(tested))
-            break
-        done = star_rounds if more.isEmpty() else done + 1
+    live = own.select(F.explode("sigs").alias("sig"), "node").select("sig", "node", F.min("node").over(by_sig).alias("pivot"), F.max("node").over(by_sig).alias("other")).where("pivot != other")
+    live, _ = materialize(spark, live.select("sig", "node", "pivot").distinct(), "live")
+    counted = live.groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("family"))
+    facts = own.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.max("shares").alias("shares"))
+    family, _ = materialize(spark, counted.join(facts, "node").select("node", "family", "doc_id", "n", "shares"), "families")
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        """Whole sets of some nodes, a row each, from the documents that may hold them."""
+        keys = slots_of(some.select(F.xxhash64("doc_id").alias("key")), "key")
+        few = may_hold(rows.withColumn("key", F.xxhash64("doc_id")), "key", keys, "maybe").where("maybe").select("text")
+        return _members(few, width).dropDuplicates(["node"])
+
+    large = family.groupBy("family").agg(_number_of_blocks().alias("nb")).where("nb > 1").select("family")
+    stars = family.join(large, "family").where("node != family").select(F.col("node").alias("a"), F.col("family").alias("b"))
+    found = spark.createDataFrame([], "id long, component long")
+    links = spark.createDataFrame([], "src long, dst long")
+    if not stars.isEmpty():
+        of_stars = family.join(stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct(), "node")
+        links, _ = materialize(spark, _verified(stars, sets_of(of_stars), percent).where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst")), "stars")
+        found = connected_components(spark, links)
+    met = _deal(spark, live, family, found)
+    in_blocks = met.join(sets_of(family), "node").groupBy("lo", "hi").applyInPandas(_block(percent), "src long, dst long")
+    in_blocks, _ = materialize(spark, in_blocks, "links")
+    found = connected_components(spark, links.unionByName(in_blocks))
     per_node = own.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"))
     labelled = per_node.join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
