@@ -29,8 +29,8 @@ IDENTITY_PAIRS = (
 )
 SWAP = {a: b for a, b in IDENTITY_PAIRS} | {b: a for a, b in IDENTITY_PAIRS}
 #: Bounds of the training sample (rows of label 1 and of label 0) and of the features kept.
-POSITIVES, NEGATIVES, FEATURES, MIN_ROWS = 4000, 8000, 4000, 3
-FEATURE_BITS = 22
+POSITIVES, NEGATIVES, FEATURES, MIN_ROWS = 2500, 4000, 4000, 3
+FEATURE_BITS = 21
 _LETTERS = re.compile(r"[^\W\d_]+")
 _CACHE = 400_000
 
@@ -104,10 +104,10 @@ def train(features: list, labels: np.ndarray, swapped: list, l1: float = 5e-4, f
     n, pos = len(labels), int(labels.sum()) if len(labels) else 0
     if n == 0 or pos in (0, n):
         return Model({}, np.zeros(1), 500.0 if n and pos == n else -500.0)
-    flat = np.concatenate([np.fromiter(s, dtype=np.int64, count=len(s)) for s in features] or [np.empty(0, np.int64)])
-    owner = np.repeat(labels, [len(s) for s in features])
-    ones, all_ = (np.bincount(flat[m], minlength=1 << FEATURE_BITS) for m in (owner == 1, owner >= 0))
-    zeros = all_ - ones
+    ones, zeros = np.zeros(1 << FEATURE_BITS, dtype=np.int32), np.zeros(1 << FEATURE_BITS, dtype=np.int32)
+    for s, label in zip(features, labels):
+        (ones if label == 1 else zeros)[np.fromiter(s, dtype=np.int64, count=len(s))] += 1
+    all_ = ones + zeros
     p, q, pool = (ones + 0.5) / (pos + 1), (zeros + 0.5) / (n - pos + 1), (all_ + 1.0) / (n + 2)
     clear = np.abs(p - q) / np.sqrt(pool * (1 - np.minimum(pool, 1 - 1e-9)) * (1 / pos + 1 / (n - pos)))
     clear[all_ < MIN_ROWS] = 0
