@@ -5,11 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope() -> Iterator[list[str]]:
+    """Collects the scratch paths handed out inside, for whoever knows when their results are no longer read."""
+    _SCOPES.append([])
+    try:
+        yield _SCOPES[-1]
+    finally:
+        _SCOPES.pop()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -38,7 +51,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/eigenforge/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/eigenforge/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
 
 
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> tuple[DataFrame, str]:
