@@ -26,7 +26,7 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(spark, _read(spark, sf_dir, "documents"))
+    return mixing.mix(spark, _read(spark, sf_dir, "documents")).drop("row_hash")
 
 
 def op3_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,11 @@ BLOCK, FAN_IN = 8192, 64
 BROADCAST_SOURCES = 10_000
 
 
+def row_hash(doc_id: Column, text: Column, seed: int = 7) -> Column:
+    """A row's identity in the mix."""
+    return F.xxhash64(F.lit(seed), doc_id.cast("long"), text)
+
+
 def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
@@ -131,14 +136,14 @@ def _round_groups(rows: DataFrame, seed: int, level: int) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Per document doc_id, source, size, source_size, target, copies, taken (size times copies).
+    """Per document doc_id, row_hash, source, size, source_size, target, copies, taken (size times copies).
 
     A null text has size 0; documents of size 0 are taken 0 times. Null is a source of its own. Rows with equal ids
     are rounded each on its own; an empty table gives no rows. Reruns agree: blocks and draws depend on hashes of the
     rows, never on how they are dealt. A source whose words are all one document is rounded at random as one.
     """
     ship_package(spark)
-    sized = docs.select(F.col(source_col).cast("string").alias("source"), F.col(id_col).cast("long").alias("doc_id"), words_in(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("row_hash"))
+    sized = docs.select(F.col(source_col).cast("string").alias("source"), F.col(id_col).cast("long").alias("doc_id"), words_in(F.col(text_col)).alias("size"), row_hash(F.col(id_col), F.col(text_col), seed).alias("row_hash"))
     sized, _ = materialize(spark, sized, "sizes")
     targets, _ = materialize(spark, source_targets(spark, sized.select("source", "size"), weights, cap), "targets")
     n, n_sources = sized.count(), targets.count()
@@ -166,4 +171,4 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = (1, 2,
     for more in done[1:]:
         result = result.unionByName(more)
     copies = (F.col("whole") + F.col("fraction").cast("long")).alias("copies")
-    return result.select("doc_id", "source", "size", "source_size", "target", copies, (F.col("size") * copies).alias("taken"))
+    return result.select("doc_id", "row_hash", "source", "size", "source_size", "target", copies, (F.col("size") * copies).alias("taken"))

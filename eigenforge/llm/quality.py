@@ -41,17 +41,18 @@ def line_fails(line: Column) -> Column:
     )
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Each row with its counts, line verdicts and cleaned text.
 
     Gives doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_bad_lines, lost_chars, line_chars,
-    base_failed, kept, clean_text. A null text counts as empty: no words, so it fails the base rules. Repeated rows
+    base_failed, kept, clean_text, and the columns to carry as a struct `carried`. A null text counts as empty: no words, so it fails the base rules. Repeated rows
     are judged alike and all returned; an empty table gives none; no row is shuffled.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.struct(*carry).alias("carried"))
     d = d.select(
         "doc_id",
+        "carried",
         "text",
         F.array_remove(F.split("text", SPACE), "").alias("words"),
         F.filter(F.split("text", "\n"), lambda x: x.rlike(NON_SPACE)).alias("lines"),
@@ -70,6 +71,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     n_repeat = F.coalesce(F.aggregate(reach, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long")
     d = d.select(
         "doc_id",
+        "carried",
         "text",
         "lines",
         "bad",
@@ -85,11 +87,14 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     base = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     loses = F.col("lost_chars") * 100 > F.col("line_chars") * MAX_LOST_PERCENT
     clean = F.when(F.col("n_bad_lines") == 0, F.col("text")).otherwise(F.array_join(F.filter("lines", lambda x: ~line_fails(x)), "\n"))
-    return d.select(*[c for c in d.columns if c not in ("text", "lines", "bad")], base.alias("base_failed"), (~base & ~loses).alias("kept"), clean.alias("clean_text"))
+    # A verdict that isn't deterministic to the optimizer stays above these projections: a filter on it, pushed below,
+    # would have every expression spelled out again within the functions over arrays.
+    kept = ~base & ~loses & (F.spark_partition_id() >= 0)
+    return d.select(*[c for c in d.columns if c not in ("text", "lines", "bad")], base.alias("base_failed"), kept.alias("kept"), clean.alias("clean_text"))
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
-    return measure(docs).drop("clean_text")
+    return measure(docs).drop("clean_text", "carried")
 
 
 ORACLE = rf"""
