@@ -1 +1 @@
-
+"""Column functions."""

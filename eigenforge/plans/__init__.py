@@ -1 +1 @@
-
+"""End-to-end plans and registered queries."""

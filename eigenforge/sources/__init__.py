@@ -1 +1 @@
-
+"""Count matrices from tables."""
