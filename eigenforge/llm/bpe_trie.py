@@ -19,11 +19,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eigenforge.llm.words import CACHE_LIMIT, no_gc
+from eigenforge.llm.words import no_gc
 from eigenforge.llm.wordbpe import Splitter, byte_alphabet
 from eigenforge.session import ship_package
 
-_PAIR_LIMIT = 2_000_000
+#: Chunks and token pairs that a worker keeps at most. Workers live on after their tasks, and so does what they keep.
+_CHUNK_LIMIT, _PAIR_LIMIT = 600_000, 1_000_000
 
 
 class TrieBpe:
@@ -126,7 +127,7 @@ class _Codec:
 
     def learn(self, keys: set[str]) -> None:
         new = keys.difference(self.known)
-        if len(self.known) + len(new) > CACHE_LIMIT:
+        if len(self.known) + len(new) > _CHUNK_LIMIT:
             self.known = {w: self.known[w] for w in keys if w in self.known}
         with no_gc():
             parts = {key: self.split.words_of(key) for key in new}

@@ -11,6 +11,8 @@ import xxhash
 
 #: Entries that a worker keeps at most in a cache of words; a full cache starts anew.
 CACHE_LIMIT = 1_400_000
+#: The same for hashes, of which a task has its own.
+HASH_LIMIT = 300_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -19,7 +21,7 @@ class HashCache(dict):
     """Word bytes to a 64-bit hash; bounded, so a worker's memory does not follow the corpus."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_LIMIT:
+        if len(self) >= HASH_LIMIT:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
