@@ -236,6 +236,10 @@ def similar_components(spark: SparkSession, docs: DataFrame, width: int = SHINGL
     live, _ = materialize(spark, live.select("sig", "node", "pivot").distinct(), "live")
     counted = live.groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("family"))
     facts = own.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.max("shares").alias("shares"))
+    # A center's own center, twice: families of one group of near copies become one.
+    for _ in range(2):
+        up = counted.select(F.col("node").alias("family"), F.col("family").alias("higher"))
+        counted, _ = materialize(spark, counted.join(up, "family", "left").select("node", F.coalesce("higher", "family").alias("family")), "centers")
     family, _ = materialize(spark, counted.join(facts, "node").select("node", "family", "doc_id", "n", "shares"), "families")
 
     def sets_of(some: DataFrame) -> DataFrame:
