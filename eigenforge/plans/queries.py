@@ -69,7 +69,7 @@ def vectors(spark, sf_dir) -> DataFrame:
     from pyspark.sql import Window
 
     place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    return _read(spark, sf_dir, "embeddings").select(F.col("label").alias("rep"), place.alias("comp_idx"), F.col("embedding").cast("array<double>").alias("vec")).where("comp_idx < 8")
+    return _read(spark, sf_dir, "embeddings").select(F.col("label").alias("rep"), place.alias("comp_idx"), F.col("embedding").cast("array<double>").alias("vec"))
 
 
 FX1 = "expr AS (SELECT l_suppkey AS cell_id, l_partkey AS gene_id, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2)"
