@@ -338,13 +338,13 @@ def robust_score_plot(spark, sf_dir):
 
 def _documents_result(spark, sf_dir) -> significance.Result:
     m = qc.filter_cells_and_genes(document_word(spark, sf_dir), min_genes_per_cell=1, min_cells_per_gene=15, mito_percent=0)
-    return significance.find_optimal_pc(spark, m, Config(sparsity=0.98, n_rand_matrix=6))
+    return significance.find_optimal_pc(spark, m, Config())
 
 
 @query()
 def mp_fit(spark, sf_dir):
     m = customer_kind(spark, sf_dir)
-    return significance.find_optimal_pc(spark, m, Config(sparsity=0.95)).summary(spark)
+    return significance.find_optimal_pc(spark, m, Config()).summary(spark)
 
 
 @query()
@@ -361,4 +361,4 @@ def pc_embedding(spark, sf_dir):
 def sparsity_search(spark, sf_dir):
     m = customer_kind(spark, sf_dir)
     ids = [r[0] for r in m.genes.orderBy("gene_id").select("gene_id").collect()]
-    return spark.createDataFrame(sparsity.find_sparsity(spark, m.expr, m.cells, ids, Config(sparsity_step=0.004))[1])
+    return spark.createDataFrame(sparsity.find_sparsity(spark, m.expr, m.cells, ids, Config())[1])
