@@ -144,10 +144,13 @@ def filter_full(spark, sf_dir):
     return qc.filter_cells_and_genes(supplier_part(spark, sf_dir), max_tp_c=20000, max_tp_g=1e6, min_genes_per_cell=480, max_genes_per_cell=530, min_cells_per_gene=25, mito_percent=95.0, mito="(?i)^[a-d]", on_empty="empty").expr
 
 
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
 @query("""SELECT CAST(o_custkey AS VARCHAR) AS cell, o_orderpriority AS gene, CAST(count(*) AS DOUBLE) AS value FROM orders
 WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') GROUP BY 1, 2""")
 def wide_ingest(spark, sf_dir):
-    wide = _read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("cell")).pivot("o_orderpriority", ["1-URGENT", "2-HIGH", "3-MEDIUM"]).count()
+    wide = _read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("cell")).pivot("o_orderpriority", PRIORITIES).count()
     m = CountMatrix.from_wide(spark, wide)
     return m.expr.join(m.cells, "cell_id").join(m.genes, "gene_id").select("cell", "gene", "value")
 
