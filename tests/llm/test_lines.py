@@ -65,11 +65,11 @@ def brute_lines(rows, min_chars, near_min):
         keep, exact, near = [], 0, 0
         for raw in text.split("\n"):
             line = raw.strip(" \t\r")
-            if len(line) >= min_chars:
+            if line:
                 words = line.split(" ")
                 if any(line == x for x, _ in seen):
                     exact += 1
-                elif len(words) >= near_min and any(len(y) >= near_min and edit_at_most_one(words, y) for _, y in seen):
+                elif len(words) >= near_min and len(line) >= min_chars and any(len(y) >= near_min and len(x) >= min_chars and edit_at_most_one(words, y) for x, y in seen):
                     near += 1
                     seen.append((line, words))
                 else:
@@ -108,13 +108,13 @@ def test_op4_against_brute_force(spark, make_docs):
 
 def test_op4_odd_rows(spark, make_docs):
     passage = "this passage of a dozen words or so is found in many documents here"
-    rows = [(None, passage), (1, None), (2, ""), (3, passage + "\nown line of this very document"), (3, passage + "\nanother text with the same id here"), (4, "x\n" + passage), (4, "x\n" + passage), (5, "short\nshort"), (6, passage.replace("dozen", "score")), (7, (passage + "\n") * 500)]
+    rows = [(None, passage), (1, None), (2, ""), (3, passage + "\nown line of this very document"), (3, passage + "\nanother text with the same id here"), (4, "x\n" + passage), (4, "x\n" + passage), (5, "short\nshort"), (6, passage.replace("dozen", "score")), (7, (passage + "\n") * 500), (8, "\n \n\n"), (9, "z" * 30_000 + " " + "tail " * 3000)]
     got = line_dedup.dedup_lines(spark, make_docs(rows)).collect()
     assert len(got) == len(rows)
     by = {}
     for r in got:
         by.setdefault(r["doc_id"], []).append((r["text"], r["n_exact"], r["n_near"]))
-    assert by[1] == [(None, 0, 0)] and by[2] == [("", 0, 0)] and by[5] == [("short\nshort", 0, 0)]
+    assert by[1] == [(None, 0, 0)] and by[8] == [("\n \n\n", 0, 0)] and by[9][0][1:] == (0, 0) and by[2] == [("", 0, 0)] and by[5] == [("short", 1, 0)]
     assert sum(passage in (t or "") for rows_ in by.values() for t, _, _ in rows_) == 1  # only the earliest of the two rows with id 3
     assert by[4] == [("x", 1, 0)] * 2 and by[6] == [("", 0, 1)] and by[None] == [("", 1, 0)] and by[7] == [("", 500, 0)]
     assert line_dedup.dedup_lines(spark, make_docs([])).count() == 0
