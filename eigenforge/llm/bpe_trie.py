@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from eigenforge.llm.words import no_gc
 from eigenforge.llm.wordbpe import Splitter, byte_alphabet
+from eigenforge.llm.frames import map_frames
 from eigenforge.session import ship_package
 
 #: Chunks and token pairs that a worker keeps at most. Workers live on after their tasks, and so does what they keep.
@@ -174,7 +175,7 @@ def encode_digests(spark: SparkSession, docs: DataFrame, tokenizer: str, id_col:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": n, "ids_sha256": a, "decoded_sha256": b})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_frames(rows, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(spark: SparkSession, docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -187,7 +188,7 @@ def encode(spark: SparkSession, docs: DataFrame, tokenizer: str, id_col: str = "
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [x.astype("int32") for x in codec.encode(pdf["text"].tolist())]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, ids array<int>")
+    return map_frames(rows, run, "doc_id long, ids array<int>")
 
 
 def decode(spark: SparkSession, encoded: DataFrame, tokenizer: str) -> DataFrame:
@@ -199,4 +200,4 @@ def decode(spark: SparkSession, encoded: DataFrame, tokenizer: str) -> DataFrame
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": [bpe.decode(x) if x is not None else "" for x in pdf["ids"]]})
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, text string")
+    return map_frames(encoded.select("doc_id", "ids"), run, "doc_id long, text string")

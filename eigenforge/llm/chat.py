@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eigenforge.llm.frames import map_frames
 from eigenforge.session import shared_dir, ship_package, shuffle_partitions
 
 #: States: the role of the last turn so far. Roles have the same numbers; 0 is a role of no known name.
@@ -122,7 +123,9 @@ def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[object, pd.DataFram
     key: object = None
     for pdf in batches:
         ids = pdf["conv_id"].astype("Int64")
-        change = ids.fillna(-(1 << 62)).diff().fillna(0).ne(0)
+        before = ids.shift()
+        change = (ids.isna() != before.isna()) | (ids != before).fillna(False)
+        change.iloc[0] = False
         for _, run in pdf.groupby(change.cumsum(), sort=False):
             k = None if pd.isna(run["conv_id"].iloc[0]) else int(run["conv_id"].iloc[0])
             if held and k != key:
@@ -187,7 +190,7 @@ def format_turns(spark: SparkSession, turns: DataFrame, costs: Costs = Costs(),
             m = [sum(auto.matrix(numbers(run)), []) for run in (first[1], last[1])]
             yield pd.DataFrame({"part": [part], "first_id": pd.array([first[0]], dtype="Int64"), "last_id": pd.array([last[0]], dtype="Int64"), "runs": [runs], "first_m": [m[0]], "last_m": [m[1]]})
 
-    seen = roles.mapInPandas(summary, "part int, first_id long, last_id long, runs long, first_m array<long>, last_m array<long>").collect()
+    seen = map_frames(roles, summary, "part int, first_id long, last_id long, runs long, first_m array<long>, last_m array<long>").collect()
     matrices = {(r["part"], end): r[f"{end}_m"] for r in seen for end in ("first", "last")}
     matrices |= {(r["part"], "last"): r["first_m"] for r in seen if r["runs"] == 1}
     chains = _chains([(r["part"], r["first_id"], r["last_id"], r["runs"]) for r in seen])
@@ -223,7 +226,7 @@ def format_turns(spark: SparkSession, turns: DataFrame, costs: Costs = Costs(),
 
     entry: dict[tuple[int, str], int] = {}
     if chains:
-        to = {(r["part"], r["end"]): r["to"] for r in roles.mapInPandas(exits, "part int, end string, to array<int>").collect()}
+        to = {(r["part"], r["end"]): r["to"] for r in map_frames(roles, exits, "part int, end string, to array<int>").collect()}
         for chain in chains:
             state = START
             for piece in chain:
@@ -241,7 +244,7 @@ def format_turns(spark: SparkSession, turns: DataFrame, costs: Costs = Costs(),
             closes = piece is None or piece in ends
             yield _render(auto, template, run, wanted, start, path, closes)
 
-    return dealt.mapInPandas(solve, _OUT)
+    return map_frames(dealt, solve, _OUT)
 
 
 def _render(auto: Automaton, template: Template, run: pd.DataFrame, wanted: list[int], state: int, path: list[int], closes: bool) -> pd.DataFrame:

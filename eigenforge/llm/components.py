@@ -12,7 +12,9 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(id, component) for each end of an edge (src, dst); component is the smallest id that edges lead to.
 
     Each round takes the least label among a vertex's own and its neighbours', then the label of that label, so paths
-    halve. Sums per vertex are partial; a hub costs one row a task. Rounds are cut by tables in the shared folder.
+    halve. Sums per vertex are partial; a hub costs one row a task. Joins by a hub or by a giant component's label read
+    tables on both sides and nothing else in their stage, so Spark's skew join splits them. Rounds are cut by tables in
+    the shared folder.
     """
     both, edges_path = materialize(spark, edges.select("src", "dst").union(edges.select("dst", "src")).where("src != dst").distinct(), "edges")
     labels, path = materialize(spark, both.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.first("src")).alias("label")), "labels")

@@ -146,10 +146,13 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, limit: float = 0.93
     counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     components = connected_components(spark, found.where("b is not null").select(F.col("a").alias("src"), F.col("b").alias("dst")))
     labelled = nodes.select("node", "copies", "least_id").join(components.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    labelled, _ = materialize(spark, labelled, "labelled")
+    least, _ = materialize(spark, labelled.groupBy("component").agg(F.min("least_id").alias("component_id")), "least-ids")
     result = labelled.join(least, "component").join(counts, "node", "left").select("node", "component_id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
     result, _ = materialize(spark, result, "of-node")
-    out = rows.select("vec_id", "node").join(result, "node", "left")
+    ids = rows.select("vec_id", "node")
+    alone = ids.where("node is null").withColumns({"component_id": F.lit(None).cast("long"), "n_links": F.lit(None).cast("long")})
+    out = ids.where("node is not null").join(result, "node", "left").unionByName(alone)
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 

@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from eigenforge.llm.frames import map_frames
 from eigenforge.session import materialize, ship_package, shuffle_partitions
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -90,49 +91,40 @@ _ROWS = "source string, group long, row_hash long, doc_id long, size long, sourc
 
 
 def _round_groups(rows: DataFrame, seed: int, level: int) -> DataFrame:
-    """Pivots within each (group, source); at most one row of each stays fractional. Rows must not be many per group."""
+    """Pivots fractional rows within each (group, source); at most one row of each stays fractional."""
+    columns = [c.split(" ")[0] for c in _ROWS.split(", ")]
+    at = {c: i for i, c in enumerate(columns)}
+    share, size, name = at["fraction"], at["size"], at["row_hash"]
+
+    def frame(out: list[list]) -> pd.DataFrame:
+        pdf = pd.DataFrame(out, columns=columns)
+        return pdf.assign(doc_id=pdf["doc_id"].astype("Int64"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_key, held = None, None  # the group at hand and its fractional row
+        key, held = None, None  # the group at hand and its fractional row
         for pdf in batches:
-            fractions = pdf["fraction"].to_numpy(dtype=float, copy=True)
-            sizes, hashes = pdf["size"].to_numpy(), pdf["row_hash"].to_numpy()
-            keys = list(zip(pdf["group"], pdf["source"].where(pdf["source"].notna(), None)))
-            out_extra = []
-            for i, key in enumerate(keys):
-                if key != open_key:
-                    if isinstance(held, pd.DataFrame):
-                        out_extra.append(held)
-                    open_key, held = key, None
-                p = fractions[i]
-                if p <= 0.0 or p >= 1.0:
+            out = []
+            for row in map(list, zip(*(pdf[c] for c in columns))):
+                if (row[at["group"]], row[at["source"]]) != key:
+                    key = (row[at["group"]], row[at["source"]])
+                    out += [held] if held else []
+                    held = row
                     continue
                 if held is None:
-                    held = i
+                    held = row
                     continue
-                if isinstance(held, pd.DataFrame):
-                    pa, sa, ha = float(held["fraction"].iloc[0]), int(held["size"].iloc[0]), int(held["row_hash"].iloc[0])
-                else:
-                    pa, sa, ha = fractions[held], int(sizes[held]), int(hashes[held])
-                qa, qb = pivot(pa, sa, p, int(sizes[i]), _uniform(seed, level, ha, int(hashes[i])))
-                fractions[i] = qb
-                if isinstance(held, pd.DataFrame):
-                    held = held.assign(fraction=qa)
+                held[share], row[share] = pivot(held[share], held[size], row[share], row[size], _uniform(seed, level, held[name], row[name]))
+                if 0.0 < held[share] < 1.0:
+                    out.append(row)
                 else:
-                    fractions[held] = qa
-                if not 0.0 < qa < 1.0:
-                    if isinstance(held, pd.DataFrame):
-                        out_extra.append(held)
-                    held = i if 0.0 < qb < 1.0 else None
-            pdf = pdf.assign(fraction=fractions)
-            if isinstance(held, int):  # it goes on into the next batch
-                kept, pdf = pdf.iloc[[held]], pdf.drop(pdf.index[held])
-                held = kept
-            yield pd.concat([*out_extra, pdf]) if out_extra else pdf
-        if isinstance(held, pd.DataFrame):
-            yield held
-
-    return rows.sortWithinPartitions("group", "source", "row_hash", "doc_id").mapInPandas(run, _ROWS)
+                    out.append(held)
+                    held = row if 0.0 < row[share] < 1.0 else out.append(row)
+            if out:
+                yield frame(out)
+        if held:
+            yield frame([held])
+
+    return map_frames(rows.sortWithinPartitions("group", "source", "row_hash", "doc_id"), run, _ROWS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -153,20 +145,21 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = (1, 2,
     rate = F.when(F.col("size") > 0, F.least(rate, F.lit(float(cap)))).otherwise(0.0)
     blocks = max(1, -(-n // BLOCK))
     rows = joined.select("source", F.pmod("row_hash", F.lit(blocks)).alias("group"), "row_hash", "doc_id", "size", "source_size", "target", F.floor(rate).alias("whole"), (rate - F.floor(rate)).alias("fraction"))
-    parts = max(1, min(shuffle_partitions(spark), blocks))
-    level, done = 0, []
+    is_open = (F.col("fraction") > 0) & (F.col("fraction") < 1)
+    level, done = 0, [rows.where(~is_open)]
+    rows = rows.where(is_open)
     while True:
-        out, _ = materialize(spark, _round_groups(rows.repartition(parts, "group"), seed, level), f"round-{level}")
-        open_row = (F.col("fraction") > 0) & (F.col("fraction") < 1)
-        done.append(out.where(~open_row))
+        # by group and source, so the residuals of many sources meet in many tasks at the root, too
+        parts = max(1, min(shuffle_partitions(spark), blocks * n_sources))
+        out, _ = materialize(spark, _round_groups(rows.repartition(parts, "group", "source"), seed, level), f"round-{level}")
+        done.append(out.where(~is_open))
         if blocks == 1:
             # At the root a source has one fractional document at most: a draw by its fraction.
             u = F.pmod(F.xxhash64(F.lit(seed), F.lit("root"), "row_hash"), F.lit(1 << 52)) / F.lit(float(1 << 52))
-            done.append(out.where(open_row).withColumn("fraction", F.when(u < F.col("fraction"), 1.0).otherwise(0.0)))
+            done.append(out.where(is_open).withColumn("fraction", F.when(u < F.col("fraction"), 1.0).otherwise(0.0)))
             break
         blocks, level = -(-blocks // FAN_IN), level + 1
-        rows = out.where(open_row).withColumn("group", F.expr(f"group div {FAN_IN}"))
-        parts = max(1, min(parts, blocks))
+        rows = out.where(is_open).withColumn("group", F.expr(f"group div {FAN_IN}"))
     result = done[0]
     for more in done[1:]:
         result = result.unionByName(more)

@@ -18,10 +18,11 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eigenforge.llm.components import connected_components
+from eigenforge.llm.frames import map_frames
 from eigenforge.llm.slots import may_hold, slots_of
 from eigenforge.llm.words import HashCache, ascii_words, mix
 from eigenforge.session import materialize, ship_package
@@ -119,7 +120,7 @@ def _sets(docs: DataFrame, width: int, columns: str, row) -> DataFrame:
         for pdf in batches:
             yield row(pdf, [shingle_set(t, width, cache) for t in pdf["text"]], seen)
 
-    return docs.mapInPandas(run, columns)
+    return map_frames(docs, run, columns)
 
 
 def signed(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -231,9 +232,12 @@ def similar_components(spark: SparkSession, docs: DataFrame, width: int = SHINGL
     ship_package(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     own, _ = materialize(spark, signed(rows, width, percent), "signed")
-    by_sig = Window.partitionBy("sig")
-    live = own.select(F.explode("sigs").alias("sig"), "node").select("sig", "node", F.min("node").over(by_sig).alias("pivot"), F.max("node").over(by_sig).alias("other")).where("pivot != other")
-    live, _ = materialize(spark, live.select("sig", "node", "pivot").distinct(), "live")
+    # Signatures of several nodes, by partial sums; few are, and a frequent one's rows may be split where they are joined.
+    signs = own.select(F.explode("sigs").alias("sig"), "node")
+    shared = signs.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot != other").drop("other")
+    shared, _ = materialize(spark, shared, "shared-signatures")
+    live = may_hold(signs, "sig", slots_of(shared, "sig"), "maybe").where("maybe").drop("maybe").join(shared, "sig").distinct()
+    live, _ = materialize(spark, live, "live")
     counted = live.groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("family"))
     facts = own.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.max("shares").alias("shares"))
     # A center's own center, twice: families of one group of near copies become one.
@@ -262,9 +266,12 @@ def similar_components(spark: SparkSession, docs: DataFrame, width: int = SHINGL
     found = connected_components(spark, links.unionByName(in_blocks))
     per_node = own.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least_id"))
     labelled = per_node.join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    labelled, _ = materialize(spark, labelled, "labelled")
+    least, _ = materialize(spark, labelled.groupBy("component").agg(F.min("least_id").alias("component_id")), "least-ids")
     of_node, _ = materialize(spark, labelled.join(least, "component").select("node", "component_id"), "of-node")
-    return own.join(of_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    alone = own.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    linked = own.where("node is not null").join(of_node, "node", "left")
+    return alone.unionByName(linked.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
 
 
 ORACLE = r"""

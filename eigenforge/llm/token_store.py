@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from eigenforge.llm.words import CACHE_LIMIT, no_gc
 from eigenforge.llm.wordbpe import Splitter, byte_alphabet
+from eigenforge.llm.frames import map_frames
 from eigenforge.session import scratch_path, ship_package, shuffle_partitions
 
 MAGIC, VERSION = b"EFTS", 1
@@ -172,7 +173,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str
             yield flush()
 
     ordered = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(shuffle_partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    ordered.select("doc_id", "text").mapInPandas(run, _SEGMENT).write.mode("overwrite").parquet(f"{path}/segments")
+    map_frames(ordered.select("doc_id", "text"), run, _SEGMENT).write.mode("overwrite").parquet(f"{path}/segments")
     spark.createDataFrame([(dict_hash.hex(), bytearray(dictionary))], "dict_hash string, dictionary binary").coalesce(1).write.mode("overwrite").parquet(f"{path}/dictionary")
     return dictionary
 
@@ -205,7 +206,7 @@ def read_tokens(spark: SparkSession, path: str, digests: bool = False) -> DataFr
                     yield out.assign(ids=[x.astype("int32") for x in ids])
 
     kind = "ids_crc32 long" if digests else "ids array<int>"
-    return segments.select("part", "data").mapInPandas(run, f"doc_id long, start long, n_tokens long, {kind}")
+    return map_frames(segments.select("part", "data"), run, f"doc_id long, start long, n_tokens long, {kind}")
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:

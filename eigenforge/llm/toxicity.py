@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eigenforge.llm.frames import map_frames
 from eigenforge.session import ship_package
 
 #: Identity terms and their partners.
@@ -150,7 +151,12 @@ def in_training(doc_id) -> F.Column:
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES) -> Model:
-    """Train on labelled rows outside the held-out fifth: those with the smallest hashes, at most so many of each label."""
+    """Train on labelled rows outside the held-out fifth: those with the smallest hashes, at most so many of each label.
+
+    Null ids and labels other than 0 and 1 are left out; an id labelled both ways counts as 1. Null and empty texts have
+    no features. Labels without a document are skipped; no rows at all give a model that scores 0. Reruns agree, however
+    rows are dealt. Long texts cost their distinct chunks; other columns are ignored.
+    """
     ship_package(spark)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & in_training(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id", F.lit(5)))
     counts = dict(known.groupBy("toxic").count().collect())
@@ -161,16 +167,18 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, positives: int
         parts += own.orderBy("h", "doc_id").limit(bound).collect()
     if not parts:
         return train([], np.empty(0), [])
-    chosen = spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in parts], "doc_id long, toxic int")
+    chosen = spark.createDataFrame([(r["doc_id"], r["toxic"], r["h"]) for r in parts], "doc_id long, toxic int, h long")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader()
         for pdf in batches:
-            yield pd.DataFrame({"toxic": pdf["toxic"], "own": [sorted(reader.of(t)) for t in pdf["text"]], "other": [None if (s := reader.swapped(t)) is None else sorted(s) for t in pdf["text"]]})
+            yield pd.DataFrame({"h": pdf["h"], "doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "own": [sorted(reader.of(t)) for t in pdf["text"]], "other": [None if (s := reader.swapped(t)) is None else sorted(s) for t in pdf["text"]]})
 
-    # The sample has at most positives + negatives rows, so its ids may be broadcast and its features gathered.
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
-    got = rows.mapInPandas(run, "toxic int, own array<int>, other array<int>").toPandas()
+    # The sample has at most positives + negatives ids, so they may be broadcast; of rows with equal ids the one with the
+    # least hash of its text stays, so their features may be gathered. Sorted, they add up alike however rows are dealt.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic", "h").agg(F.min(F.struct(F.xxhash64("text").alias("tie"), "text")).alias("least")).select("h", "doc_id", "toxic", "least.text")
+    got = map_frames(rows, run, "h long, doc_id long, toxic int, own array<int>, other array<int>").toPandas().sort_values(["h", "doc_id"])
     return train(got["own"].tolist(), got["toxic"].to_numpy(), got["other"].tolist())
 
 
@@ -188,5 +196,5 @@ def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": [model.score(reader.of(t)) for t in pdf["text"]]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", F.col("doc_id").isNotNull() & ~in_training(F.col("doc_id")))
-    out = rows.mapInPandas(run, "doc_id long, held_out boolean, score double")
+    out = map_frames(rows, run, "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eigenforge.llm.frames import map_frames
 from eigenforge.llm.slots import may_hold, slots_of
 from eigenforge.session import materialize, scratch_path, ship_package, shuffle_partitions
 
@@ -180,7 +181,7 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
             yield out
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, _RUN)
+    return map_frames(files, run, _RUN)
 
 
 def merge_runs(spark: SparkSession, runs: DataFrame) -> DataFrame:
@@ -206,7 +207,7 @@ def merge_runs(spark: SparkSession, runs: DataFrame) -> DataFrame:
 
     order = [F.col("url_key"), F.col("captured"), F.col("page_id").isNull(), F.col("page_id")]
     dealt = runs.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions("run", "seq")
-    return dealt.mapInPandas(merge, "range long, place long, " + _RUN.split(", ", 2)[2])
+    return map_frames(dealt, merge, "range long, place long, " + _RUN.split(", ", 2)[2])
 
 
 class _Keyed(tuple):
