@@ -21,6 +21,12 @@ class Normalized:
     cells: DataFrame  # rep, cell_id, l2
     total: DataFrame  # rep, c, r1, r2, vv, mm, vm
     n: int  # cells
+    _kept: DataFrame  # what a is read from
+
+    def release(self) -> None:
+        """Frees what was cached, once nothing reads it any more."""
+        for df in (self._kept, self.genes, self.cells):
+            df.unpersist()
 
 
 def with_rep(expr: DataFrame) -> DataFrame:
@@ -62,7 +68,7 @@ def normalize(expr: DataFrame, cells: DataFrame) -> Normalized:
     m = F.col("c") / F.lit(float(n)) * (F.col("ar") - F.col("r1") * F.col("v"))
     genes = moments.join(inner, ["rep", "gene_id"]).join(F.broadcast(scale), "rep").select("rep", "gene_id", "mu", "sd", "v", m.alias("m")).cache()
     mm = genes.groupBy("rep").agg(F.sum(F.col("m") * F.col("m")).alias("mm"), F.sum(F.col("v") * F.col("m")).alias("vm"))
-    return Normalized(a.drop("v"), genes, lengths, scale.join(vv, "rep").join(mm, "rep"), n)
+    return Normalized(a.drop("v"), genes, lengths, scale.join(vv, "rep").join(mm, "rep"), n, a)
 
 
 def dense(norm: Normalized) -> DataFrame:

@@ -78,9 +78,7 @@ FX2 = """raw AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
 expr AS (SELECT dense_rank() OVER (ORDER BY c) - 1 AS cell_id, dense_rank() OVER (ORDER BY g) - 1 AS gene_id, value FROM raw)"""
 FX3 = "expr AS (SELECT user_id AS cell_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS gene_id, count(*) AS value FROM events GROUP BY 1, 2)"
-FX5 = """vec AS (
-  SELECT * FROM (SELECT label AS rep, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS comp_idx, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
-  WHERE comp_idx < 8)"""
+FX5 = "vec AS (SELECT label AS rep, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS comp_idx, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
 #: The normalisation by its definition, on the whole grid.
 NORM = """cl AS (SELECT DISTINCT cell_id FROM expr), gn AS (SELECT DISTINCT gene_id FROM expr),
 k AS (SELECT (SELECT count(*) FROM cl) AS n, (SELECT count(*) FROM gn) AS m),
@@ -147,8 +145,7 @@ def filter_full(spark, sf_dir):
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
-@query("""SELECT CAST(o_custkey AS VARCHAR) AS cell, o_orderpriority AS gene, CAST(count(*) AS DOUBLE) AS value FROM orders
-WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') GROUP BY 1, 2""")
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS cell, o_orderpriority AS gene, CAST(count(*) AS DOUBLE) AS value FROM orders GROUP BY 1, 2""")
 def wide_ingest(spark, sf_dir):
     wide = _read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("cell")).pivot("o_orderpriority", PRIORITIES).count()
     m = CountMatrix.from_wide(spark, wide)
@@ -214,7 +211,8 @@ def gram_by_join(spark, sf_dir):
 
 
 @query(f"""WITH {FX3}, {NORM},
-p AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY gene_id) AS a, row_number() OVER (PARTITION BY cell_id ORDER BY {_uniform_sql('perm')}, gene_id) AS b FROM x)
+d AS MATERIALIZED (SELECT *, {_uniform_sql('perm')} AS u FROM x),
+p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY gene_id) AS a, row_number() OVER (PARTITION BY cell_id ORDER BY u, gene_id) AS b FROM d)
 SELECT p.cell_id, p.gene_id, round(q.value, 5) + 0.0 AS value FROM p JOIN p q ON p.cell_id = q.cell_id AND p.a = q.b""")
 def null_permutation(spark, sf_dir):
     m = user_hour(spark, sf_dir)
@@ -241,18 +239,20 @@ def mp_params(spark, sf_dir):
     return rmt.mp_params(pairs).select(*[_r(c, 4).alias(c) for c in ("moment_1", "moment_2", "gamma", "b_plus", "b_minus", "peak")])
 
 
-_LIST = [0.31, 0.42, 0.55, 0.61, 0.74, 0.9, 1.02, 1.13, 1.31, 1.52, 1.77, 2.05, 2.4]
-_LIST_SQL = "v(x) AS (VALUES " + ", ".join(f"(CAST({x} AS DOUBLE))" for x in _LIST) + ")"
+_VALUES_SQL = "v AS (SELECT c_custkey AS id, CAST(c_acctbal AS DOUBLE) / 4000 AS x FROM customer)"
 
 
-def _list(spark) -> DataFrame:
-    return spark.createDataFrame([(x,) for x in _LIST], "x double")
+def _values(spark, sf_dir) -> DataFrame:
+    """A whole column in place of a spectrum, most of it between the edges of a distribution, some of it beyond."""
+    return _read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal").cast("double") / 4000).alias("x"))
 
 
-@query(f"""WITH {_LIST_SQL}, a AS (SELECT avg(x) AS m1, avg(x * x) / (avg(x) * avg(x)) - 1 AS g, count(*) AS n FROM v)
-SELECT round(g, 6) + 0.0 AS gamma, round(m1 * (1 + sqrt(g)) ** 2 + (n / g) ** (-2.0 / 3) * g ** (5.0 / 6) * (1 + sqrt(g)) ** (4.0 / 3), 6) + 0.0 AS lambda_c FROM a""")
+@query(f"""WITH {_VALUES_SQL}, a AS (SELECT avg(x) FILTER (WHERE x > 0.25 AND x < 2.25) AS m1, avg(x * x) FILTER (WHERE x > 0.25 AND x < 2.25) AS m2, count(*) AS n FROM v),
+b AS (SELECT m1, m2 / (m1 * m1) - 1 AS g, n FROM a)
+SELECT round(g, 6) + 0.0 AS gamma, round(m1 * (1 + sqrt(g)) ** 2 + (n / g) ** (-2.0 / 3) * g ** (5.0 / 6) * (1 + sqrt(g)) ** (4.0 / 3), 6) + 0.0 AS lambda_c FROM b""")
 def tracy_widom(spark, sf_dir):
-    return rmt.tracy_widom_row(_list(spark), "x").select(_r("gamma", 6).alias("gamma"), _r("lambda_c", 6).alias("lambda_c"))
+    x = F.col("x")
+    return rmt.tracy_widom_row(_values(spark, sf_dir), (x > 0.25) & (x < 2.25), "x").select(_r("gamma", 6).alias("gamma"), _r("lambda_c", 6).alias("lambda_c"))
 
 
 _P = {"b_plus": 2.25, "b_minus": 0.25, "s": 1.0, "gamma": 0.25}
@@ -263,18 +263,18 @@ _CDF_SQL = """CASE WHEN x < 0.25 THEN 0.0 WHEN x > 0.25 AND x < 2.25 THEN (pi()
 def _mp_columns(df: DataFrame) -> DataFrame:
     p = {k: F.lit(v) for k, v in _P.items()}
     x = F.col("x")
-    return df.select("x", rmt.mp_pdf(x, **p).alias("pdf"), rmt.mp_cdf(x, **p).alias("cdf"))
+    return df.select("id", rmt.mp_pdf(x, **p).alias("pdf"), rmt.mp_cdf(x, **p).alias("cdf"))
 
 
-@query(f"WITH {_LIST_SQL} SELECT x, round(CASE WHEN x > 0.25 AND x < 2.25 THEN sqrt((2.25 - x) * (x - 0.25)) / (2 * pi() * 0.25 * x) END, 6) + 0.0 AS pdf, round({_CDF_SQL}, 6) + 0.0 AS cdf FROM v")
+@query(f"WITH {_VALUES_SQL} SELECT id, round(CASE WHEN x > 0.25 AND x < 2.25 THEN sqrt((2.25 - x) * (x - 0.25)) / (2 * pi() * 0.25 * x) END, 6) + 0.0 AS pdf, round({_CDF_SQL}, 6) + 0.0 AS cdf FROM v")
 def mp_pdf_cdf(spark, sf_dir):
-    return _mp_columns(_list(spark)).select("x", _r("pdf", 6).alias("pdf"), _r("cdf", 6).alias("cdf"))
+    return _mp_columns(_values(spark, sf_dir)).select("id", _r("pdf", 6).alias("pdf"), _r("cdf", 6).alias("cdf"))
 
 
-@query(f"""WITH {_LIST_SQL}, f AS (SELECT {_CDF_SQL} AS f FROM v), o AS (SELECT f, row_number() OVER (ORDER BY f) AS i, (SELECT count(*) FROM f) AS n FROM f)
+@query(f"""WITH {_VALUES_SQL}, f AS (SELECT {_CDF_SQL} AS f FROM v), o AS (SELECT f, row_number() OVER (ORDER BY f) AS i, (SELECT count(*) FROM f) AS n FROM f)
 SELECT round(max(greatest(i / n - f, f - (i - 1) / n)), 6) + 0.0 AS ks FROM o""")
 def ks_distance(spark, sf_dir):
-    return rmt.ks_distance(_mp_columns(_list(spark)), "cdf").select(_r("ks", 6).alias("ks"))
+    return rmt.ks_distance(_mp_columns(_values(spark, sf_dir)), "cdf").select(_r("ks", 6).alias("ks"))
 
 
 @query("""WITH b AS (SELECT min(c_acctbal) AS lo, (max(c_acctbal) - min(c_acctbal)) / 30 AS w, count(*) AS n FROM customer)
@@ -360,6 +360,23 @@ def pc_embedding(spark, sf_dir):
     return significance.pca(_documents_result(spark, sf_dir))
 
 
+@query()
+def fit_report(spark, sf_dir):
+    return significance.fit_report(spark, significance.find_optimal_pc(spark, customer_kind(spark, sf_dir), Config()))
+
+
+@query(f"""WITH {FX2}, {NORM}, {GRAM_GENE}, t AS (SELECT sum(g * g) / (SELECT n FROM k) AS total FROM gr)
+SELECT (SELECT m FROM k) AS n, round(total, 3) + 0.0 AS total_variance, round(1.0, 6) AS share FROM t""")
+def explained_variance(spark, sf_dir):
+    m = customer_kind(spark, sf_dir)
+    norm = normalize.normalize(m.expr, m.cells)
+    pairs, _, _ = spectrum.eigen(spark, norm, m.genes.count(), 10_000, top=1)
+    rows = spectrum.explained_variance(pairs, norm.n)
+    total = rows.agg(F.sum("variance").alias("total"))
+    rows = rows.join(F.broadcast(total), how="cross")
+    return rows.agg(F.count(F.lit(1)).alias("n"), _r(F.sum("variance"), 3).alias("total_variance"), F.round(F.sum(F.col("variance") / F.col("total")), 6).alias("share"))
+
+
 @query()
 def sparsity_search(spark, sf_dir):
     m = customer_kind(spark, sf_dir)

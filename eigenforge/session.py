@@ -45,6 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if configured is None and current.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="eigenforge-"))
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
     return configured if configured is not None else current.get()
