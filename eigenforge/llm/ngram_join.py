@@ -214,8 +214,13 @@ def _deal(spark: SparkSession, live: DataFrame, family: DataFrame, found: DataFr
     placed, _ = materialize(spark, rows.select("node", "family", "shares", block.alias("block"), "settled"), "blocks")
     # A set goes to the blocks of a family with which it shares as many signatures as with a set it is linked with.
     members = live.select("sig", "node").join(placed.select("node", "family"), "node")
+    # Its own family has all of them; only signatures of several families lead elsewhere.
     kinds = members.select("sig", F.col("family").alias("to")).distinct()
-    shared = members.select("sig", "node").join(kinds, "sig").groupBy("node", "to").agg(F.count(F.lit(1)).alias("n"))
+    several = kinds.groupBy("sig").agg(F.min("to").alias("lo"), F.max("to").alias("hi")).where("lo != hi").select("sig")
+    kinds, _ = materialize(spark, kinds.join(several, "sig", "left_semi"), "families-of-signatures")
+    elsewhere = members.join(kinds, "sig").where("to != family").select("node", "to")
+    at_home = members.select("node", F.col("family").alias("to"))
+    shared = elsewhere.unionByName(at_home).groupBy("node", "to").agg(F.count(F.lit(1)).alias("n"))
     ends = placed.select(F.col("family").alias("to"), F.col("block").alias("other"), F.col("settled").alias("other_settled")).distinct()
     apart = F.col("settled").isNull() | F.col("other_settled").isNull() | (F.col("settled") != F.col("other_settled"))
     met = shared.join(placed.drop("family"), "node").where(F.col("n") >= F.col("shares")).join(ends, "to").where(apart)
