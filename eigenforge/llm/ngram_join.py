@@ -35,6 +35,8 @@ N2, K2 = 2, 1
 SPARE = 15
 #: Sets and shingles that a block of an unsettled cluster has about.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1_000_000
+#: Times that families join larger ones before sets are dealt to blocks.
+MERGES = 2
 _SALT, _MUL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -193,6 +195,27 @@ def _number_of_blocks() -> F.Column:
     return F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK_SETS))), F.ceil(F.sum("n") / F.lit(float(BLOCK_SHINGLES)))).cast("int")
 
 
+def _merged(spark: SparkSession, live: DataFrame, family: DataFrame) -> DataFrame:
+    """Families (node, family, shares, others) after each has joined a larger one with which it shares as many
+    signatures as its sets do with a set they are linked with.
+
+    A signature proposes its largest family to all of its families, so the rows are as many as families have signatures.
+    Families only say which sets meet in a block: however they are cut, the links found are the same.
+    """
+    rows = live.select("sig", "node").join(family.select("node", "family"), "node").select("sig", "family").distinct()
+    sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("sets"), F.min("shares").alias("need"))
+    kinds, _ = materialize(spark, rows.join(sizes, "family"), "kinds")
+    tops, _ = materialize(spark, kinds.groupBy("sig").agg(F.max(F.struct("sets", "family")).alias("top"), F.count(F.lit(1)).alias("f")).where("f > 1").select("sig", F.col("top.family").alias("into")), "tops")
+    met = kinds.join(tops, "sig").where("family != into").groupBy("family", "into").agg(F.count(F.lit(1)).alias("c"), F.first("need").alias("need"))
+    step = met.where("c >= need").groupBy("family").agg(F.max_by("into", F.struct("c", "into")).alias("into"))
+    # Each step leads to a larger family, or one of equal size and a larger id, so there are no circles.
+    step, _ = materialize(spark, step, "steps")
+    further = step.select(F.col("family").alias("into"), F.col("into").alias("last"))
+    ends = step.join(further, "into", "left").select("family", F.coalesce("last", "into").alias("end"))
+    moved = family.join(ends, "family", "left").withColumn("family", F.coalesce("end", "family")).select(family.columns)
+    return materialize(spark, moved, "families")[0]
+
+
 def _deal(spark: SparkSession, live: DataFrame, family: DataFrame, found: DataFrame) -> DataFrame:
     """node, lo, hi: the pairs of blocks in which a node meets others of its signatures.
 
@@ -245,6 +268,8 @@ def similar_components(spark: SparkSession, docs: DataFrame, width: int = SHINGL
         up = counted.select(F.col("node").alias("family"), F.col("family").alias("higher"))
         counted, _ = materialize(spark, counted.join(up, "family", "left").select("node", F.coalesce("higher", "family").alias("family")), "centers")
     family, _ = materialize(spark, counted.join(facts, "node").select("node", "family", "doc_id", "n", "shares"), "families")
+    for _ in range(MERGES):
+        family = _merged(spark, live, family)
 
     def sets_of(some: DataFrame) -> DataFrame:
         """Whole sets of some nodes, a row each, from the documents that may hold them."""

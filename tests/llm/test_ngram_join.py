@@ -37,9 +37,10 @@ def brute(rows, width, percent):
     return sorted((doc_id, len(sets[i]), least[find(i)]) for i, (doc_id, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("block", [1024, 5])
-def test_components_against_brute_force(spark, make_docs, monkeypatch, block):
+@pytest.mark.parametrize("block, merges", [(1024, 2), (5, 0), (5, 2)])
+def test_components_against_brute_force(spark, make_docs, monkeypatch, block, merges):
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", block)
+    monkeypatch.setattr(ngram_join, "MERGES", merges)
     rng = random.Random(4)
     bases = [[f"w{rng.randrange(400)}" for _ in range(rng.choice([3, 6, 15, 40, 150]))] for _ in range(15)]
     texts = []
@@ -82,6 +83,15 @@ def test_similar_sets_share_a_signature():
                 assert np.intersect1d(sa, sb).size >= max(least_a, least_b)
 
 
+def test_families_join_the_larger_one(spark):
+    family = spark.createDataFrame([(1, 1, 2), (2, 1, 2), (3, 1, 2), (4, 4, 2), (5, 4, 2), (6, 6, 2), (7, 7, 3)], "node long, family long, shares int")
+    sigs = {1: [10, 11], 2: [10], 3: [11], 4: [10, 11, 12, 13], 5: [12], 6: [12, 13], 7: [10, 11]}
+    live = spark.createDataFrame([(s, n) for n, found in sigs.items() for s in found], "sig long, node long")
+    got = {r["node"]: r["family"] for r in ngram_join._merged(spark, live, family).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 7}  # 6 by way of 4; 7 asks for three shared signatures
+    assert ngram_join._merged(spark, live.where("sig < 0"), family).count() == 7
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(10, 60)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 3)]
     got = dict(map(tuple, connected_components(spark, spark.createDataFrame(edges, "src long, dst long")).collect()))
