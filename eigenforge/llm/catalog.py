@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eigenforge.llm import bpe_trie, chat, embedding_dedup, line_dedup, mixing, ngram_join, quality, token_store, toxicity, warc
+from eigenforge.llm import bpe_trie, chat, embedding_dedup, line_dedup, merkle, mixing, ngram_join, quality, token_store, toxicity, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -62,6 +62,10 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digests(spark, _read(spark, sf_dir, "pages"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digests(spark, _read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": op1_token_store,
@@ -74,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_repair": op8_chat_repair,
         "op9_toxicity": op9_toxicity,
         "op10_warc_index": op10_warc_index,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
@@ -84,4 +89,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_embedding_near_dedup": embedding_dedup.ORACLE,
         "op7_ngram_jaccard": ngram_join.ORACLE,
         "op10_warc_index": warc.ORACLE,
+        "op13_merkle_manifest": merkle.ORACLE,
     }
