@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eigenforge.llm import bpe_trie, chat, embedding_dedup, line_dedup, merkle, mixing, ngram_join, quality, token_store, toxicity, warc
+from eigenforge.llm import bpe_trie, chat, embedding_dedup, language, line_dedup, merkle, mixing, ngram_join, periodic, quality, token_store, toxicity, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -62,6 +62,15 @@ def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digests(spark, _read(spark, sf_dir, "pages"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(_read(spark, sf_dir, "documents"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return language.predict(spark, docs, language.fit(spark, docs))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digests(spark, _read(spark, sf_dir, "documents"))
 
@@ -78,6 +87,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_repair": op8_chat_repair,
         "op9_toxicity": op9_toxicity,
         "op10_warc_index": op10_warc_index,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op12_language_id": op12_language_id,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
 
