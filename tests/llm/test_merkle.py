@@ -1,0 +1,94 @@
+import hashlib
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from eigenforge.llm import merkle
+from tests.llm.conftest import ODD_TEXTS, SCHEMA
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def leaf(row):
+    return sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in (row[0], row[3], row[2], row[4], row[1])))
+
+
+def tree(leaves, fanout):
+    """(root, for each leaf its path: siblings left and right, level by level)."""
+    paths, at, level = [[] for _ in leaves], list(range(len(leaves))), leaves
+    while len(level) > 1:
+        groups = [level[i : i + fanout] for i in range(0, len(level), fanout)]
+        for k, i in enumerate(at):
+            g, p = groups[i // fanout], i % fanout
+            paths[k].append((g[:p], g[p + 1 :]))
+        at, level = [i // fanout for i in at], [sha("".join(g)) for g in groups]
+    return level[0], paths
+
+
+def brute(rows, fanout=2):
+    """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified by the contract."""
+    langs = sorted({r[2] for r in rows}, key=lambda x: (x is not None, (x or "").encode()))
+    sub = {}
+    for lang in langs:
+        own = sorted((r for r in rows if r[2] == lang), key=lambda r: (r[0] is not None, r[0] or 0, leaf(r)))
+        sub[lang] = (own, *tree([leaf(r) for r in own], fanout))
+    root, tops = tree([sub[x][1] for x in langs], fanout) if langs else (None, [])
+    out = []
+    for lang, top in zip(langs, tops):
+        own, subroot, paths = sub[lang]
+        for r, path in zip(own, paths):
+            full = path + top
+            hit = r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 0 and r[4] is not None
+            f = leaf((*r[:4], r[4] + 1)) if hit else leaf(r)
+            for left, right in full:
+                f = sha("".join([*left, f, *right]))
+            out.append((r[0], leaf(r), subroot, root, sha("".join("".join(a + b) for a, b in full)), f, f == root))
+    return out
+
+
+def frame(spark, rows, parts=3):
+    return spark.createDataFrame(rows, SCHEMA).repartition(parts) if rows else spark.createDataFrame([], SCHEMA)
+
+
+def columns(df):
+    return sorted(map(str, (tuple(r)[:7] for r in df.collect())))
+
+
+ROWS = [(i, t, lang, "s", None if t is None else len(t)) for i, (t, lang) in enumerate(zip([*ODD_TEXTS, *map(str, range(40))], ["en", "de", None, "", "fr", "en", "en"] * 8))]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, len(ROWS)])
+def test_rows_are_those_of_brute_force(spark, n):
+    assert columns(merkle.digests(spark, frame(spark, ROWS[:n]))) == sorted(map(str, brute(ROWS[:n])))
+
+
+def test_odd_rows(spark):
+    rows = [*ROWS[:9], ROWS[3], ROWS[3], (None, "a", "en", None, 1), (None, "b", "en", None, 1), (5, "other", "en", "s", None), ((1 << 60) + 1, "x" * 50_000, "en", "s", 2**63 - 1)]
+    df = frame(spark, rows).selectExpr("*", "1 AS tree", "'q' AS digest", "2 AS idx")
+    assert columns(merkle.digests(spark, df)) == sorted(map(str, brute(rows)))
+    assert merkle.digests(spark, frame(spark, [])).collect() == []
+
+
+def test_one_tree_of_many_equal_rows(spark):
+    rows = [(7, "t", "en", "s", 1)] * 33
+    got = merkle.digests(spark, frame(spark, rows, 5))
+    assert columns(got) == sorted(map(str, brute(rows)))
+
+
+def test_fanout_is_a_parameter(spark):
+    rows = merkle.manifest(spark, frame(spark, ROWS), fanout=3)
+    got = rows.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("p"), merkle.folded(F.col("leaf"), F.col("proof")).alias("f")).collect()
+    want = {w[0]: w for w in brute(ROWS, 3)}
+    assert len(got) == len(ROWS)
+    assert all(tuple(r)[:5] == want[r.doc_id][:5] and r.f == r.root for r in got)
+    with pytest.raises(ValueError):
+        merkle.manifest(spark, frame(spark, ROWS), fanout=1)
+
+
+def test_tampering_is_found_wherever_it_is(spark):
+    rows = merkle.manifest(spark, frame(spark, ROWS), {"text": F.concat(F.coalesce("text", F.lit("")), F.lit("!"))}, F.lit(True))
+    assert rows.where(merkle.folded(F.col("changed"), F.col("proof")) == F.col("root")).count() == 0
+    assert rows.where(merkle.folded(F.col("leaf"), F.col("proof")) != F.col("root")).count() == 0
