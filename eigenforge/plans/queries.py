@@ -274,7 +274,7 @@ def mp_pdf_cdf(spark, sf_dir):
 @query(f"""WITH {_VALUES_SQL}, f AS (SELECT {_CDF_SQL} AS f FROM v), o AS (SELECT f, row_number() OVER (ORDER BY f) AS i, (SELECT count(*) FROM f) AS n FROM f)
 SELECT round(max(greatest(i / n - f, f - (i - 1) / n)), 6) + 0.0 AS ks FROM o""")
 def ks_distance(spark, sf_dir):
-    return rmt.ks_distance(_mp_columns(_values(spark, sf_dir)), "cdf").select(_r("ks", 6).alias("ks"))
+    return rmt.ks_distance(spark, _mp_columns(_values(spark, sf_dir)), "cdf").select(_r("ks", 6).alias("ks"))
 
 
 @query("""WITH b AS (SELECT min(c_acctbal) AS lo, (max(c_acctbal) - min(c_acctbal)) / 30 AS w, count(*) AS n FROM customer)
