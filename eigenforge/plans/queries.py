@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from eigenforge.config import Config
 from eigenforge.functions.rng import permute_rows
-from eigenforge.operators import gram, normalize, perturb, qc, rmt, robust, sparsity, spectrum
+from eigenforge.operators import blocks, gram, normalize, perturb, qc, rmt, robust, sparsity, spectrum, tiles
 from eigenforge.plans import significance
+from eigenforge.session import materialize
 from eigenforge.sources.matrix import CountMatrix
 
 SEED = 7
@@ -175,22 +176,31 @@ def normalize_full(spark, sf_dir):
     return normalize.dense(normalize.normalize(m.expr, m.cells)).select("cell_id", "gene_id", _r("value").alias("value"))
 
 
-def _gram_rows(spark, m: CountMatrix, side: str) -> DataFrame:
-    """The Gram matrix through contract(), as rows."""
-    import numpy as np
-    import pandas as pd
+def _stored(spark, m: CountMatrix) -> CountMatrix:
+    """The same matrix, read once: what follows counts and joins it several times."""
+    expr, _ = materialize(spark, m.expr.select("cell_id", "gene_id", "value"), "counts")
+    cells, _ = materialize(spark, m.cells.select("cell_id"), "cells")
+    return CountMatrix(expr, cells, expr.select("gene_id").distinct())
 
-    norm = normalize.normalize(m.expr, m.cells)
-    n_genes = m.expr.select("gene_id").distinct().count()
-    ids = gram.side_ids(norm, side, 10_000)
-    d, n = len(ids), norm.n
 
-    def rows(key, pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        g = gram.finish(gram.assemble(pdf, d), own.sort_values("id"), side, n, n_genes)
-        return pd.DataFrame({"i": np.repeat(ids, d), "j": np.tile(ids, d), "g": g.ravel()})
+def _tiles(spark, m: CountMatrix, side: str):
+    """The Gram matrix's tiles, the side's ids, cells."""
+    m = _stored(spark, m)
+    normal = blocks.normalize_blocks(spark, blocks.build(spark, m.expr, m.cells, [r[0] for r in m.genes.collect()]))
+    x = tiles.by_cells(normal) if side == "gene" else tiles.by_genes(spark, normal, m.expr)
+    out, _ = materialize(spark, tiles.gram_tiles(spark, x, normal.blocks.n_genes), "tiles")
+    return out, x.ids, normal.blocks.n_cells
+
+
+def _gram_rows(spark, m: CountMatrix, side: str) -> DataFrame:
+    found, ids, _ = _tiles(spark, m, side)
+    return tiles.gram_rows(found, ids)
 
-    panels = gram.contract(spark, gram.sparse_rows(norm, side, gram.index_table(spark, ids)), d)
-    return panels.groupBy("rep").cogroup(gram.side_facts(norm, side).groupBy("rep")).applyInPandas(rows, "i long, j long, g double")
+
+def _gram_sums(spark, m: CountMatrix, side: str) -> tuple[int, float, float, int]:
+    """Side, sum and sum of squares of the eigenvalues, cells."""
+    found, ids, n_cells = _tiles(spark, m, side)
+    return len(ids), *tiles.gram_sums(found, len(ids)), n_cells
 
 
 @query(f"WITH {FX1}, {NORM}, {GRAM_CELL} SELECT i, j, round(g, 5) + 0.0 AS g FROM gr")
@@ -223,9 +233,8 @@ def null_permutation(spark, sf_dir):
 @query(f"""WITH {FX2}, {NORM}, {GRAM_GENE}, t AS (SELECT sum(g) FILTER (WHERE i = j) AS a, sum(g * g) AS b, (SELECT m FROM k) AS d FROM gr)
 SELECT d AS n, round(a, 4) + 0.0 AS sum_l, round(b, 3) + 0.0 AS sum_l2 FROM t""")
 def spectrum_moments(spark, sf_dir):
-    m = customer_kind(spark, sf_dir)
-    pairs, _, _ = spectrum.eigen(spark, normalize.normalize(m.expr, m.cells), m.genes.count(), 10_000, top=1)
-    return pairs.agg(F.count(F.lit(1)).alias("n"), _r(F.sum("eigenvalue"), 4).alias("sum_l"), _r(F.sum(F.col("eigenvalue") * F.col("eigenvalue")), 3).alias("sum_l2"))
+    d, trace, squares, _ = _gram_sums(spark, customer_kind(spark, sf_dir), "gene")
+    return spark.range(1).select(F.lit(d).cast("long").alias("n"), _r(F.lit(trace), 4).alias("sum_l"), _r(F.lit(squares), 3).alias("sum_l2"))
 
 
 _MP_SQL = """SELECT round(m1, 4) + 0.0 AS moment_1, round(m2, 4) + 0.0 AS moment_2, round(g, 4) + 0.0 AS gamma, round(m1 * (1 + sqrt(g)) * (1 + sqrt(g)), 4) + 0.0 AS b_plus,
@@ -234,9 +243,8 @@ round(m1 * (1 - sqrt(g)) * (1 - sqrt(g)), 4) + 0.0 AS b_minus, round(m1 * (1 - g
 
 @query(f"""WITH {FX2}, {NORM}, {GRAM_GENE}, mo2 AS (SELECT sum(g) FILTER (WHERE i = j) / (SELECT m FROM k) AS m1, sum(g * g) / (SELECT m FROM k) AS m2 FROM gr) {_MP_SQL}""")
 def mp_params(spark, sf_dir):
-    m = customer_kind(spark, sf_dir)
-    pairs, _, _ = spectrum.eigen(spark, normalize.normalize(m.expr, m.cells), m.genes.count(), 10_000, top=1)
-    return rmt.mp_params(pairs).select(*[_r(c, 4).alias(c) for c in ("moment_1", "moment_2", "gamma", "b_plus", "b_minus", "peak")])
+    d, trace, squares, _ = _gram_sums(spark, customer_kind(spark, sf_dir), "gene")
+    return rmt.params_row(spark.range(1).select(F.lit(trace / d).alias("moment_1"), F.lit(squares / d).alias("moment_2"))).select(*[_r(c, 4).alias(c) for c in ("moment_1", "moment_2", "gamma", "b_plus", "b_minus", "peak")])
 
 
 _VALUES_SQL = "v AS (SELECT c_custkey AS id, CAST(c_acctbal AS DOUBLE) / 4000 AS x FROM customer)"
@@ -365,16 +373,40 @@ def fit_report(spark, sf_dir):
     return significance.fit_report(spark, significance.find_optimal_pc(spark, customer_kind(spark, sf_dir), Config()))
 
 
-@query(f"""WITH {FX2}, {NORM}, {GRAM_GENE}, t AS (SELECT sum(g * g) / (SELECT n FROM k) AS total FROM gr)
-SELECT (SELECT m FROM k) AS n, round(total, 3) + 0.0 AS total_variance, round(1.0, 6) AS share FROM t""")
+@query(f"""WITH {FX2}, {NORM}, {GRAM_GENE}, t AS (SELECT sum(g * g) / (SELECT n FROM k) AS total, sum(g) FILTER (WHERE i = j) AS trace FROM gr)
+SELECT (SELECT m FROM k) AS n, round(total, 3) + 0.0 AS total_variance, round(trace, 4) + 0.0 AS total_eigenvalue FROM t""")
 def explained_variance(spark, sf_dir):
-    m = customer_kind(spark, sf_dir)
+    m = _stored(spark, customer_kind(spark, sf_dir))
     norm = normalize.normalize(m.expr, m.cells)
     pairs, _, _ = spectrum.eigen(spark, norm, m.genes.count(), 10_000, top=1)
     rows = spectrum.explained_variance(pairs, norm.n)
-    total = rows.agg(F.sum("variance").alias("total"))
-    rows = rows.join(F.broadcast(total), how="cross")
-    return rows.agg(F.count(F.lit(1)).alias("n"), _r(F.sum("variance"), 3).alias("total_variance"), F.round(F.sum(F.col("variance") / F.col("total")), 6).alias("share"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), _r(F.sum("variance"), 3).alias("total_variance"), _r(F.sum("eigenvalue"), 4).alias("total_eigenvalue"))
+
+
+@query(f"""WITH {FX1}, {NORM}, r AS (SELECT cell_id, sum(value * value) AS q, sum(value) ** 2 - sum(value * value) AS t FROM x GROUP BY 1),
+a AS (SELECT sum(q) AS q, sum(q * q) AS qq, sum(t) AS t, sum(t * t) AS tt, (SELECT m FROM k) AS m, (SELECT least(n, m) FROM k) AS d FROM r)
+SELECT round(q / m / d, 6) + 0.0 AS moment_1, round((qq + (q * q - qq) / m + (t * t - tt) / (m * (m - 1))) / (m * m) / d, 6) + 0.0 AS moment_2 FROM a""")
+def null_moments(spark, sf_dir):
+    """The mean over all row permutations, in closed form."""
+    m = _stored(spark, supplier_part(spark, sf_dir))
+    m1, m2 = spectrum.null_moments(normalize.normalize(m.expr, m.cells), m.genes.count())
+    return spark.range(1).select(_r(F.lit(m1), 6).alias("moment_1"), _r(F.lit(m2), 6).alias("moment_2"))
+
+
+@query(f"""WITH {FX1}, {NORM}, p AS (SELECT x.cell_id, x.gene_id, x.value, ((gene_id * 7919) % 1009) / 1009.0 - 0.5 AS a, ((gene_id * 104729) % 1013) / 1013.0 - 0.5 AS b FROM x),
+sums AS (SELECT cell_id, sum(value * a) AS ya, sum(value * b) AS yb FROM p GROUP BY 1)
+SELECT gene_id, round(sum(value * ya) / (SELECT m FROM k), 5) + 0.0 AS ga, round(sum(value * yb) / (SELECT m FROM k), 5) + 0.0 AS gb FROM x JOIN sums ON x.cell_id = sums.cell_id GROUP BY 1""")
+def gram_product(spark, sf_dir):
+    """X'X / genes times two vectors over row blocks: what the iterative solver asks for, without a Gram matrix."""
+    import numpy as np
+
+    m = _stored(spark, supplier_part(spark, sf_dir))
+    ids = [r[0] for r in m.genes.orderBy("gene_id").collect()]
+    normal = blocks.normalize_blocks(spark, blocks.build(spark, m.expr, m.cells, ids))
+    g = np.array(ids)
+    got = blocks.gram_times(spark, normal, {0: np.stack([(g * 7919) % 1009 / 1009 - 0.5, (g * 104729) % 1013 / 1013 - 0.5], axis=1)})[0]
+    rows = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in zip(ids, got)], "gene_id long, ga double, gb double")
+    return rows.select("gene_id", _r("ga").alias("ga"), _r("gb").alias("gb"))
 
 
 @query()
