@@ -81,6 +81,60 @@ def test_stages_against_brute_force(spark, make_docs):
     assert sorted((r["doc_id"], r["n_tokens"], r["ids_sha256"]) for r in out[4]) == sorted(want)
 
 
+def stage(name):
+    return dict(corpus_pipeline.STAGES)[name]
+
+
+LONG = " ".join(f"{a}{b}" for a in WORDS[:30] for b in ("x", "y", "z"))
+ODD = [
+    (1, LONG), (2, LONG + " tail"), (2, "quite another text of some words that nobody else has here"), (None, LONG + " end"), (None, "one more text without an id that stays where it is"),
+    (3, None), (4, ""), (5, "equal rows of the same id and text come here"), (5, "equal rows of the same id and text come here"), (6, "word " * 30_000), (7, "word " * 30_000), ((1 << 60) + 1, "a large id beside a null one"),
+]
+
+
+def test_near_duplicates_decides_row_by_row(spark, make_docs):
+    out = sorted(map(str, (tuple(r)[:2] for r in stage("near duplicates")(spark, make_docs(ODD), "").collect())))
+    gone = [(2, LONG + " tail"), (None, LONG + " end"), ODD[8], ODD[10]]
+    want = list(ODD)
+    for r in gone:
+        want.remove(r)
+    assert out == sorted(map(str, want))
+
+
+def test_mixing_takes_what_the_targets_say(spark, make_docs):
+    """Words taken of each source are within its largest document of the target, and no row comes more than 3 times."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(["w"] * rng.randrange(1, 40)) + f" {i}", rng.choice("abcd")) for i in range(400)]
+    out = stage("mixing")(spark, make_docs(rows), "").collect()
+    size, total = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "abcd"}, sum(len(t.split()) for _, t, _ in rows)
+    weight, cap, free, target = dict(zip("abcd", (1, 2, 3, 1))), {}, float(total), {}
+    left = set("abcd")
+    while left:
+        share = free / sum(weight[s] for s in left)
+        over = {s for s in left if weight[s] * share > 3 * size[s]}
+        if not over:
+            target |= {s: weight[s] * share for s in left}
+            break
+        target |= {s: 3.0 * size[s] for s in over}
+        free, left = free - sum(3.0 * size[s] for s in over), left - over
+    for s in "abcd":
+        assert abs(sum(len(r["text"].split()) for r in out if r["source"] == s) - target[s]) <= 41
+    assert max(out.count(r) for r in out[:50]) <= 3
+
+
+def test_stages_on_odd_rows_one_by_one(spark, make_docs):
+    docs = make_docs(ODD).withColumnRenamed("source", "source")
+    kept = stage("quality rules")(spark, docs, "").collect()
+    assert {r["doc_id"] for r in kept} <= {1, 2, 5, 6, 7, None, (1 << 60) + 1} and all(r["text"] for r in kept)
+    lines = stage("line dedup")(spark, docs, "").collect()
+    assert sorted(str(r["text"])[:30] for r in lines if r["doc_id"] in (3, 4)) == ["", "None"]
+    assert sum(r["doc_id"] in (6, 7) for r in lines) == 1  # equal lines go
+    mixed = stage("mixing")(spark, docs, "").collect()
+    assert not {r["doc_id"] for r in mixed} & {3, 4}
+    ids = stage("bpe encoding")(spark, docs, "").collect()
+    assert len(ids) == len(ODD) and {r["doc_id"] for r in ids if r["n_tokens"] == 0} == {3, 4}
+
+
 @pytest.mark.parametrize("rows", [[], [(None, None), (1, ""), (2, "short"), (2, "short")]])
 def test_stages_take_odd_tables(spark, make_docs, rows):
     docs = make_docs(rows)
