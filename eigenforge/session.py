@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zipfile
@@ -12,6 +13,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Scratch paths of each session that are still there.
+_OWNED: dict[str, tuple[SparkSession, list[str]]] = {}
 _SCOPES: list[list[str]] = []
 
 
@@ -54,6 +57,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark).rstrip('/')}/eigenforge/{name}-{uuid.uuid4().hex}"
+    _OWNED.setdefault(spark._jsparkSession.sessionUUID(), (spark, []))[1].append(path)
     if _SCOPES:
         _SCOPES[-1].append(path)
     return path
@@ -70,6 +74,27 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    paths = _OWNED.get(spark._jsparkSession.sessionUUID(), (spark, []))[1]
+    if path in paths:
+        paths.remove(path)
+
+
+def close(spark: SparkSession) -> int:
+    """Deletes the session's scratch tables; results that read them cannot be read any more. Gives their number.
+
+    To be called once results are written or collected. What is left then goes when the driver's Python ends.
+    """
+    _, paths = _OWNED.pop(spark._jsparkSession.sessionUUID(), (spark, []))
+    for path in paths:
+        drop_path(spark, path)
+    return len(paths)
+
+
+@atexit.register
+def _close_all() -> None:
+    for spark, _ in list(_OWNED.values()):
+        if spark.sparkContext._jsc is not None:  # else it was stopped, and its folder is out of reach
+            close(spark)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -1,0 +1,54 @@
+import numpy as np
+import pytest
+
+from eigenforge import session
+from eigenforge.plans import queries
+from eigenforge.sources.matrix import CountMatrix
+
+SF = "/root/testdata/sf0.001"
+
+
+def left(spark):
+    """Names in the shared folder's part of this library."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(session.shared_dir(spark).rstrip("/") + "/eigenforge")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in fs.listStatus(path)) if fs.exists(path) else []
+
+
+@pytest.mark.parametrize("name", ["wide_ingest", "gram_cell", "null_moments", "ks_distance"])
+def test_close_leaves_nothing_of_a_query(spark, name):
+    session.close(spark)
+    before = left(spark)  # of other applications
+    assert queries.QUERIES[name](spark, SF).count() > 0 and len(left(spark)) > len(before)
+    assert session.close(spark) > 0 and left(spark) == before and session.close(spark) == 0
+
+
+def test_sessions_are_closed_apart(spark):
+    session.close(spark)
+    before = left(spark)
+    other = spark.newSession()
+    _, a = session.materialize(spark, spark.range(3), "mine")
+    b, _ = session.materialize(other, other.range(4), "theirs")
+    assert session.close(spark) == 1 and b.count() == 4
+    session.drop_path(spark, a)  # gone already: nothing happens
+    assert session.close(other) == 1 and left(spark) == before
+
+
+def test_very_wide_table(spark):
+    """2000 columns: zeros and nulls are no entries, cells without counts stay, rows of one cell are added up."""
+    rng = np.random.default_rng(0)
+    x = rng.poisson(0.02, (60, 2000)).astype(float)
+    x[7] = 0
+    names = [f"g.{j}" for j in rng.permutation(2000)]
+    rows = [(f"c{i:03d}", *[None if v == 0 and j % 3 == 0 else float(v) for j, v in enumerate(r)]) for i, r in enumerate(x)]
+    rows.append(("c003", *[1.0] + [0.0] * 1999))
+    x[3, 0] += 1
+    df = spark.createDataFrame(rows, "cell string, " + ", ".join(f"`{n}` double" for n in names))
+    m = CountMatrix.from_wide(spark, df)
+    label = [r[1] for r in sorted(m.genes.collect())]
+    assert label == sorted(names) and [r[1] for r in sorted(m.cells.select("cell_id", "cell").collect())] == [f"c{i:03d}" for i in range(60)]
+    got = np.zeros_like(x)
+    for r in m.expr.collect():
+        got[r["cell_id"], names.index(label[r["gene_id"]])] = r["value"]
+    assert np.array_equal(got, x)
+    assert len(m.expr._jdf.queryExecution().optimizedPlan().toString()) < 20_000  # no expression for each column

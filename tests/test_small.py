@@ -58,3 +58,14 @@ def test_entry_without_the_corpus_operators(monkeypatch):
     monkeypatch.setattr("importlib.import_module", lambda name: (_ for _ in ()).throw(ImportError(name)))
     assert "gene_stats" in __spark_entry__.queries() and not any(n.startswith("op") and n[2:3].isdigit() for n in __spark_entry__.queries())
     assert "gene_stats" in __spark_entry__.oracle_sql()
+
+
+def test_second_least_match_in_panels(spark):
+    rng = np.random.default_rng(5)
+    base, probes = np.linalg.qr(rng.normal(size=(23, 23)))[0], {r: rng.normal(size=(11, 23)) for r in (2, 7)}
+    rows = [(r, 12 + i, v.tolist()) for r, x in probes.items() for i, v in enumerate(x)]
+    got = sparsity.second_least_match(
+        spark, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "comp_idx int, vec array<double>"), spark.createDataFrame(rows, "rep int, comp_idx int, vec array<double>"), 23, width=4
+    ).collect()
+    want = {r: np.sort(np.abs(x @ base.T).max(axis=1))[1] for r, x in probes.items()}
+    assert len(got) == 2 and all(abs(r["corr"] - want[r["rep"]]) < 1e-12 for r in got)
