@@ -12,6 +12,19 @@ def uniform(seed: int, tag: str, *keys: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+#: A prime below 2^31: squares of what is below it fit into 64 bits.
+PRIME = 2147483647
+
+
+def mixed(seed: int, cell: Column, gene: Column) -> Column:
+    """Whole numbers in [0, PRIME) by position, from products and squares that SQL of any engine repeats."""
+    p = F.lit(PRIME).cast("long")
+    h = F.pmod(F.pmod(cell, p) * 48271 + F.pmod(gene, p) * 69621 + F.lit(seed), p)
+    for k in (12345, 67891):
+        h = F.pmod(h * h + k, p)
+    return h
+
+
 def grid(cells: DataFrame, genes: DataFrame) -> DataFrame:
     """All positions of a matrix; for queries that densify on purpose. Genes are the side of a checked, small size."""
     return cells.select("cell_id").crossJoin(genes.select("gene_id"))
@@ -20,7 +33,7 @@ def grid(cells: DataFrame, genes: DataFrame) -> DataFrame:
 def permute_rows(dense: DataFrame, seed: int) -> DataFrame:
     """Each row's values dealt anew over its own genes: two orders of the row, one by gene, one at random, joined by place."""
     by_gene = Window.partitionBy("cell_id").orderBy("gene_id")
-    at_random = Window.partitionBy("cell_id").orderBy(uniform(seed, "perm", F.col("cell_id"), F.col("gene_id")), "gene_id")
+    at_random = Window.partitionBy("cell_id").orderBy(mixed(seed, F.col("cell_id"), F.col("gene_id")), "gene_id")
     places = dense.select("cell_id", "gene_id", F.row_number().over(by_gene).alias("place"))
     values = dense.select("cell_id", "value", F.row_number().over(at_random).alias("place"))
     return places.join(values, ["cell_id", "place"]).select("cell_id", "gene_id", "value")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eigenforge.config import Config
-from eigenforge.functions.rng import permute_rows
+from eigenforge.functions.rng import PRIME, permute_rows
 from eigenforge.operators import blocks, gram, normalize, perturb, qc, rmt, robust, sparsity, spectrum, tiles
 from eigenforge.plans import significance
 from eigenforge.session import materialize
@@ -221,9 +221,10 @@ def gram_by_join(spark, sf_dir):
 
 
 @query(f"""WITH {FX3}, {NORM},
-d AS MATERIALIZED (SELECT *, {_uniform_sql('perm')} AS u FROM x),
-p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY gene_id) AS a, row_number() OVER (PARTITION BY cell_id ORDER BY u, gene_id) AS b FROM d)
-SELECT p.cell_id, p.gene_id, round(q.value, 5) + 0.0 AS value FROM p JOIN p q ON p.cell_id = q.cell_id AND p.a = q.b""")
+d AS (SELECT cell_id, gene_id, value, h2 FROM (SELECT *, (h1 * h1 + 67891) % {PRIME} AS h2 FROM (SELECT *, (h0 * h0 + 12345) % {PRIME} AS h1
+  FROM (SELECT *, ((cell_id % {PRIME}) * 48271 + (gene_id % {PRIME}) * 69621 + {SEED}) % {PRIME} AS h0 FROM x)))),
+p AS (SELECT cell_id, list(gene_id ORDER BY gene_id) AS genes, list(value ORDER BY h2, gene_id) AS dealt FROM d GROUP BY 1)
+SELECT cell_id, gene_id, round(value, 5) + 0.0 AS value FROM (SELECT cell_id, unnest(genes) AS gene_id, unnest(dealt) AS value FROM p)""")
 def null_permutation(spark, sf_dir):
     m = user_hour(spark, sf_dir)
     dense = normalize.dense(normalize.normalize(m.expr, m.cells)).select("cell_id", "gene_id", "value")
