@@ -1,10 +1,11 @@
 """Language identification (operator 12) by a string kernel, Nyström landmarks and kernel ridge regression.
 
 A text is the set of its character n-grams (letters in lower case, everything between words as one blank) of 1 to ORDER
-characters, each the exact number that its code points make. The kernel of two texts is the number of n-grams they share over the root of the product of their own
-numbers: a blended-spectrum kernel of presences. Landmarks are texts of the learning rows; with kernel matrices C of
-learning rows by landmarks and L of landmarks, one regression per language solves (C'WC + ridge * L) a = C'Wy. Texts are
-scored in batches: presences times the landmarks' presences gives the kernel, which times a gives a score per language.
+characters, each the exact number that its code points make. The kernel of two texts is the number of n-grams they share
+over the root of the product of their own numbers: a blended-spectrum kernel of presences. Landmarks are texts of the
+learning rows; with kernel matrices C of learning rows by landmarks and L of landmarks, one regression per language solves
+(C'WC + ridge * L) a = C'Wy. Texts are scored in batches: presences times the landmarks' presences gives the kernel, which
+times a gives a score per language.
 
 Landmarks and learning rows are a sample bounded by LANDMARKS and LEARN rows in all (a few more if there are more
 languages than that), drawn by hashes of the rows, each language alike. Every row is scored by its whole text.
