@@ -80,3 +80,32 @@ def test_labels_of_the_held_out_rows_are_never_learned(spark):
     a = toxicity.fit(spark, d, lab)
     b = toxicity.fit(spark, d, spark.createDataFrame(flipped, lab.schema))
     assert a.columns == b.columns and np.array_equal(a.weights, b.weights)
+
+
+def test_training_reaches_the_least_of_its_objective():
+    """Log loss + fairness * mean squared change of log odds + l1 * weights, spelled out; no step along any weight lowers it."""
+    rng = np.random.default_rng(11)
+    n, l1, fairness = 160, 2e-3, 0.7
+    labels = np.arange(n) % 2
+    chance = lambda f, label: 0.15 + 0.5 * (f % 3 == 0) * label + 0.3 * (f % 3 == 1) * (1 - label)
+    features = [{f for f in range(12) if rng.random() < chance(f, label)} for label in labels]
+    swapped = [set(s) ^ {0, 1} if i % 4 == 0 else None for i, s in enumerate(features)]
+    model = toxicity.train(features, labels, swapped, l1=l1, fairness=fairness, steps=20_000)
+    columns, w0 = list(model.columns), np.array([model.weights[j] for j in model.columns.values()])
+    assert len(columns) >= 3
+    x = np.array([[f in s for f in columns] for s in features], dtype=float)
+    pairs = [i for i, s in enumerate(swapped) if s is not None]
+    change = np.array([[(f in features[i]) - (f in swapped[i]) for f in columns] for i in pairs], dtype=float)
+    weight = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (n - labels.sum()))
+
+    def objective(w, b):
+        z = x @ w + b
+        return float(weight @ (np.logaddexp(0, z) - labels * z)) + fairness * float(((change @ w) ** 2).mean()) + l1 * float(np.abs(w).sum())
+
+    least = objective(w0, model.bias)
+    for step in (1e-2, 1e-3, -1e-3, -1e-2):
+        assert objective(w0, model.bias + step) > least
+        for j in range(len(columns)):
+            w = w0.copy()
+            w[j] += step
+            assert objective(w, model.bias) > least - 1e-12
