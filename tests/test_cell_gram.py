@@ -1,0 +1,24 @@
+"""The Gram matrix of cells from pairs of blocks, against the dense definition, by both ways to multiply."""
+
+import numpy as np
+import pandas as pd
+import pytest
+
+from eigenforge.operators import blocks, small, tiles
+from eigenforge.sources.matrix import CountMatrix
+
+
+@pytest.mark.parametrize("share", [0.6, 0.02])
+def test_pairs_of_blocks_give_the_gram_matrix(spark, monkeypatch, share):
+    monkeypatch.setattr(tiles, "PRODUCTS", 50)
+    rng = np.random.default_rng(1)
+    x = np.where(rng.random((150, 90)) < share, rng.integers(1, 9, (150, 90)), 0).astype(float)
+    x[np.arange(90), np.arange(90)] = 3  # no gene is constant
+    cell, gene = np.nonzero(x)
+    m = CountMatrix.from_ids(spark.createDataFrame(pd.DataFrame({"cell_id": cell, "gene_id": gene, "value": x[cell, gene]})))
+    cells = spark.range(150).toDF("cell_id")
+    found = tiles.gram_of_cells(spark, blocks.normalize_blocks(spark, blocks.build(spark, m.expr, cells, range(90), block_rows=40)))
+    assert "CartesianProduct" in found._jdf.queryExecution().executedPlan().toString()
+    got = found.toPandas()
+    y = small.normalized(x)
+    assert len(got) == 150**2 and np.allclose(y @ y.T / 90, got.pivot(index="i", columns="j", values="g").to_numpy())
