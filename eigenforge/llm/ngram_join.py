@@ -195,6 +195,19 @@ def _number_of_blocks() -> F.Column:
     return F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK_SETS))), F.ceil(F.sum("n") / F.lit(float(BLOCK_SHINGLES)))).cast("int")
 
 
+def _able(spark: SparkSession, live: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """live (sig, node, pivot: the signature's least node) and facts of the nodes that can have a link at all.
+
+    A linked set shares `shares` signatures at least, so a node that has fewer live ones has no link, however many other
+    sets share a passage with it; and a signature that one node is left with leads nowhere.
+    """
+    able, _ = materialize(spark, live.groupBy("node").agg(F.count(F.lit(1)).alias("c")).join(facts, "node").where("c >= shares").drop("c"), "able")
+    left = may_hold(live, "node", slots_of(able, "node"), "maybe").where("maybe").select("sig", "node").join(able.select("node"), "node", "left_semi")
+    left, _ = materialize(spark, left, "able-signatures")
+    pivots = left.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot != other").drop("other")
+    return materialize(spark, left.join(pivots, "sig"), "able-live")[0], able
+
+
 def _merged(spark: SparkSession, live: DataFrame, family: DataFrame) -> DataFrame:
     """Families (node, family, shares, others) after each has joined a larger one with which it shares as many
     signatures as its sets do with a set they are linked with.
@@ -259,10 +272,11 @@ def similar_components(spark: SparkSession, docs: DataFrame, width: int = SHINGL
     signs = own.select(F.explode("sigs").alias("sig"), "node")
     shared = signs.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot != other").drop("other")
     shared, _ = materialize(spark, shared, "shared-signatures")
-    live = may_hold(signs, "sig", slots_of(shared, "sig"), "maybe").where("maybe").drop("maybe").join(shared, "sig").distinct()
+    live = may_hold(signs, "sig", slots_of(shared, "sig"), "maybe").where("maybe").drop("maybe").join(shared.select("sig"), "sig").distinct()
     live, _ = materialize(spark, live, "live")
-    counted = live.groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("family"))
     facts = own.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.max("shares").alias("shares"))
+    live, facts = _able(spark, live, facts)
+    counted = live.groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("family"))
     # A center's own center, twice: families of one group of near copies become one.
     for _ in range(2):
         up = counted.select(F.col("node").alias("family"), F.col("family").alias("higher"))

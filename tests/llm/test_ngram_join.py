@@ -97,3 +97,11 @@ def test_components_of_a_path_and_a_star(spark):
     got = dict(map(tuple, connected_components(spark, spark.createDataFrame(edges, "src long, dst long")).collect()))
     assert got == {i: 10 for i in range(10, 61)} | {i: 100 for i in range(100, 140)} | {200: 3, 3: 3}
     assert connected_components(spark, spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_sets_that_share_too_few_signatures_go_before_families_are_made(spark):
+    rows = [(7, 1), (7, 2), (7, 3), (7, 4), (8, 3), (8, 4), (9, 3), (9, 4), (10, 2), (10, 5)]
+    facts = spark.createDataFrame([(n, n, 10, 3 if n != 5 else 1) for n in range(1, 6)], "node long, doc_id long, n int, shares int")
+    live, able = ngram_join._able(spark, spark.createDataFrame(rows, "sig long, node long"), facts)
+    assert sorted(r["node"] for r in able.collect()) == [3, 4, 5]
+    assert sorted(map(tuple, live.select("sig", "node", "pivot").collect())) == [(s, n, 3) for s in (7, 8, 9) for n in (3, 4)]
