@@ -1,0 +1,32 @@
+"""Sums over genes: tasks that send them do not grow in number with the blocks, and products leave from tasks as rows."""
+
+import numpy as np
+import pytest
+from test_blocks import normal_of, sparse_counts
+from test_matrix_operators import dense_normal
+
+from eigenforge.operators import blocks
+from eigenforge.plans import queries
+
+
+def test_sums_are_sent_by_no_more_tasks_than_cores(spark):
+    normal = normal_of(spark, sparse_counts(90, 40, seed=1), block_rows=7)
+    table = normal.blocks.table.repartition(13)
+    seen, n = blocks._added(normal.blocks, 1, lambda block, total: total.__iadd__(len(block.cells)), table)
+    assert n == spark.sparkContext.defaultParallelism == 4 and seen.count() <= 4
+    assert blocks.sum_over(normal.blocks, 1, lambda block, total: total.__iadd__(len(block.cells)), table)[0][0] == 90
+
+
+@pytest.mark.parametrize(("chunk", "k"), [(50, 2), (7, 3), (40, 5), (1 << 16, 2), (20, 6), (80, 2)])
+def test_rows_of_a_product_equal_the_dense_one(spark, monkeypatch, chunk, k):
+    monkeypatch.setattr(blocks, "CHUNK", chunk)
+    x = sparse_counts(90, 40, seed=1)
+    want, v = dense_normal(x), np.random.default_rng(0).standard_normal((40, k))
+    got = blocks.gram_rows(spark, normal_of(spark, x, block_rows=7), v, [f"x{j}" for j in range(k)]).toPandas().sort_values("gene_id")
+    assert got["gene_id"].tolist() == list(range(40))
+    assert np.allclose(got.iloc[:, 1:].to_numpy(), want.T @ want @ v / 40)
+
+
+def test_the_query_makes_no_local_table(spark):
+    plan = queries.gram_product(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation" not in plan and "MapInArrow" in plan
