@@ -32,3 +32,21 @@ def test_no_position_is_shuffled(spark):
     ids = spark.range(40)
     plan = perturb.bernoulli_grid(ids.toDF("cell_id"), ids.toDF("gene_id"), 0.5, 7)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "Nested" not in plan
+
+
+def test_texts_of_all_lengths_are_hashed_in_one_pass(monkeypatch):
+    import hashlib
+
+    import numpy as np
+
+    from eigenforge.functions import md5
+
+    calls, block = [], md5._block
+    monkeypatch.setattr(md5, "_block", lambda *a: (calls.append(1), block(*a))[1])
+    ids = np.array([-(2**63), -77, 0, 5, 42, 999, 1000, 123_456, 10**18])
+    texts = perturb._texts(ids)
+    for beginning in (b"", b"7|grid|", b"7|grid|12345|", b"x" * 34):
+        hashes = [int(hashlib.md5(beginning + str(i).encode()).hexdigest()[:8], 16) for i in ids.tolist()]
+        assert md5.first_bits(beginning, texts).tolist() == hashes
+        assert perturb.drawn(beginning, texts, 2**31).tolist() == [k for k, h in enumerate(hashes) if h < 2**31]
+    assert len(calls) == 8  # one for all ids, not one for each length
