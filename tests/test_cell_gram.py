@@ -22,3 +22,33 @@ def test_pairs_of_blocks_give_the_gram_matrix(spark, monkeypatch, share):
     got = found.toPandas()
     y = small.normalized(x)
     assert len(got) == 150**2 and np.allclose(y @ y.T / 90, got.pivot(index="i", columns="j", values="g").to_numpy())
+
+
+def test_tables_give_the_gram_matrix_without_vectors_over_genes(spark, monkeypatch):
+    from eigenforge.operators import normalize
+    from eigenforge.plans import queries
+
+    monkeypatch.setattr(tiles, "PAIR_ROWS", 40)
+    rng = np.random.default_rng(2)
+    x = np.where(rng.random((150, 90)) < 0.1, rng.integers(1, 9, (150, 90)), 0).astype(float)
+    x[np.arange(90), np.arange(90)] = 3
+    x[149] = 0
+    cell, gene = np.nonzero(x)
+    m = CountMatrix.from_ids(spark.createDataFrame(pd.DataFrame({"cell_id": cell * 10**14 - 7, "gene_id": -gene * 10**13, "value": x[cell, gene]})))
+    cells = spark.createDataFrame([(i * 10**14 - 7,) for i in range(150)], "cell_id long")
+    got = tiles.gram_of_entries(spark, normalize.normalize(m.expr, cells), 90, 5).toPandas()
+    y = small.normalized(x)
+    assert len(got) == 150**2 and np.allclose(y @ y.T / 90, got.pivot(index="i", columns="j", values="g").to_numpy(), atol=5.001e-6)
+    assert (got["g"].round(5) == got["g"]).all()
+
+    one = {(r["i"], r["j"]): r["g"] for r in queries.gram_cell(spark, "/root/testdata/sf0.001").collect()}
+    monkeypatch.setattr(tiles, "GENES_HELD", 0)
+    collected = []
+    monkeypatch.setattr(type(spark.range(1)), "toArrow", lambda self: collected.append(self))
+    other = {(r["i"], r["j"]): r["g"] for r in queries.gram_cell(spark, "/root/testdata/sf0.001").collect()}
+    assert other.keys() == one.keys() and not collected and all(abs(one[k] - other[k]) < 1.5e-5 for k in one)
+
+
+def test_rounding_goes_away_from_zero_and_gives_no_negative_zero():
+    got = tiles._rounded(np.array([0.125, -0.125, -0.001, 2.5, 0.1]), 2)
+    assert got.tolist() == [0.13, -0.13, 0.0, 2.5, 0.1] and not np.signbit(got[2])
